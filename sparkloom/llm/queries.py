@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.columns import peptide_key, real
-from sparkloom.llm import nearest_time, packing, quantiles, topn
+from sparkloom.llm import leaks, nearest_time, packing, quantiles, spam, topn
 
 #: Percentiles of Delta beyond this many seconds, on either side, are reported.
 DELTA_LIMIT = 45.0
@@ -89,5 +89,27 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(counts.withColumnRenamed("_id", "doc_id"), "doc_id", "_n", 2048)
 
 
-QUERIES = {"p1_found": p1_found, "p1_daily_sketches": p1_daily_sketches, "p1_percentiles": p1_percentiles, "p3_found": p3_found, "p6_found": p6_found, "p7_containers": p7_containers}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that repeat a passage of an evaluation item."""
+    found = leaks.leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), "doc_id", "item_id")
+    return found.select("item_id", "doc_id")
+
+
+def p8_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and longest repeated passage of each leaked item."""
+    found = leaks.leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), "doc_id", "item_id")
+    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("words").alias("longest"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with more than half of their words in keyword matter."""
+    return spam.spam_pages(table(spark, sf_dir, "documents"), "doc_id").where("share > 0.5").select("doc_id")
+
+
+def p9_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank-frequency curve of each page against its peers."""
+    return spam.page_curves(table(spark, sf_dir, "documents"), "doc_id").withColumnRenamed("_id", "doc_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_daily_sketches": p1_daily_sketches, "p1_percentiles": p1_percentiles, "p3_found": p3_found, "p6_found": p6_found, "p7_containers": p7_containers, "p8_found": p8_found, "p8_leaked_items": p8_leaked_items, "p9_found": p9_found, "p9_curves": p9_curves}
 SQL = {"p1_found": P1_SQL, "p3_found": P3_SQL, "p6_found": P6_SQL}
