@@ -46,6 +46,14 @@ _DIGITS = re.compile(r"[0-9]+")
 _DISGUISE = str.maketrans("013457", "oleast")
 
 
+def _joined(letters: str) -> str:
+    """The word that a run of single letters spells; of a word that is repeated, the word."""
+    for p in range(3, len(letters) // 2 + 1):
+        if letters[p:] == letters[:-p]:
+            return letters[:p]
+    return letters
+
+
 def tokens(text: str | None) -> list[str]:
     """Words of a page, split at blanks and line ends, in lower case and without accents.
 
@@ -55,7 +63,7 @@ def tokens(text: str | None) -> list[str]:
         return []
     plain = _MARKS.sub("", unicodedata.normalize("NFKD", text.lower()))
     if _SPACED.search(plain):
-        plain = _SPACED.sub(lambda m: " ".join([m[0].replace(" ", "")] * (len(m[0]) // 2 + 1)), plain)
+        plain = _SPACED.sub(lambda m: " ".join([_joined(m[0].replace(" ", ""))] * (len(m[0]) // 2 + 1)), plain)
     return plain.split()
 
 
