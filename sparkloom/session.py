@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +54,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Rounds:
+    """Tables of an iteration, each written to the shared folder; the one before the last is deleted when the next is there.
+
+    Unlike a checkpointed plan, a table that is read again brings its true size and no derived constraints along, which
+    would grow from round to round.
+    """
+
+    def __init__(self, spark: SparkSession, keep: bool = False) -> None:
+        self.spark, self.keep = spark, keep
+        self.base = f"{checkpoint_dir(spark).rstrip('/')}/rounds-{uuid.uuid4().hex}"
+        self.written: list[str] = []
+
+    def write(self, df: DataFrame) -> DataFrame:
+        """Write the rows and read them from there."""
+        path = f"{self.base}/{len(self.written)}"
+        df.write.parquet(path)
+        self.written.append(path)
+        if not self.keep and len(self.written) > 2:
+            jvm = self.spark._jvm
+            old = jvm.org.apache.hadoop.fs.Path(self.written[-3])
+            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     """Partitions a shuffle gets in this session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
