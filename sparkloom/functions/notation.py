@@ -70,7 +70,7 @@ def proforma(text: str | Column) -> Column:
                 known[x] = (p["sequence"], [{"position": i, "tag": t} for i, t in p["mods"]], p["charge"])
             except ValueError:
                 known[x] = (None, None, None)
-        return pd.DataFrame([known.get(x, (None, None, None)) for x in s], columns=["sequence", "mods", "charge"]).astype({"charge": "Int32"})
+        return pd.DataFrame([known.get(x, (None, None, None)) for x in s], columns=["sequence", "mods", "charge"], dtype=object)
 
     return run(_col(text))
 
@@ -181,7 +181,7 @@ def mzpaf(text: str | Column) -> Column:
                 rows.append(parse_mzpaf_of(x) if x is not None else {})
             except ValueError:
                 rows.append({})
-        return pd.DataFrame(rows, columns=fields).astype({"position": "Int32", "isotope": "Int32", "charge": "Int32", "error": float, "confidence": float})
+        return pd.DataFrame([[row.get(f) for f in fields] for row in rows], columns=fields, dtype=object)
 
     return run(_col(text))
 

@@ -281,7 +281,7 @@ def locate(query: str, ref: str | Column, max_distance: int, mode: str = "infix"
     def run(s: pd.Series) -> pd.DataFrame:
         found = [locate_of(query, x, mode) if x is not None else None for x in s]
         kept = [f if f is not None and f[0] <= max_distance else (None, None, None) for f in found]
-        return pd.DataFrame(kept, columns=["distance", "start", "end"]).astype("Int32")
+        return pd.DataFrame(kept, columns=["distance", "start", "end"], dtype=object)
 
     return run(_col(ref))
 

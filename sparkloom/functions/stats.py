@@ -13,8 +13,13 @@ from pyspark.sql import functions as F
 
 from sparkloom.columns import names
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-_erf = np.vectorize(math.erf, otypes=[float])
+
+def _lgamma(x):
+    return np.vectorize(math.lgamma, otypes=[float])(x)
+
+
+def _erf(x):
+    return np.vectorize(math.erf, otypes=[float])(x)
 
 
 # --- log densities -----------------------------------------------------------------------------------------------

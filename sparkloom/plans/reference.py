@@ -794,7 +794,9 @@ def _(t):
     return stats.credible_interval(t.retentiontimes.where("Actual IS NOT NULL"), "SourceFile", "Actual").select("SourceFile", r("lo").alias("lo"), r("hi").alias("hi"))
 
 
-@query("log_linear_fit", "SELECT SourceFile, round(regr_slope(Predicted, ln(Actual)), 3) AS slope, round(regr_intercept(Predicted, ln(Actual)), 2) AS intercept FROM retentiontimes WHERE Actual > 0 AND NOT isnan(Actual) AND NOT isnan(Predicted) GROUP BY 1")
+@query("log_linear_fit", """
+WITH v AS (SELECT SourceFile, Predicted AS y, ln(CASE WHEN isnan(Actual) OR Actual <= 0 THEN NULL ELSE Actual END) AS x FROM retentiontimes WHERE Predicted IS NOT NULL)
+SELECT SourceFile, round(regr_slope(y, x), 3) AS slope, round(regr_intercept(y, x), 2) AS intercept FROM v WHERE x IS NOT NULL GROUP BY 1""")
 def _(t):
     return stats.log_linear(t.retentiontimes.where("NOT isnan(Actual) AND NOT isnan(Predicted)"), "SourceFile", "Actual", "Predicted").select("SourceFile", r("slope", 3).alias("slope"), r("intercept", 2).alias("intercept"))
 

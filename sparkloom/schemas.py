@@ -11,9 +11,18 @@ from pyspark.sql import types as T
 _REGISTRY: dict[str, T.StructType] = {}
 
 
+_KINDS = {"STRING": T.StringType(), "BIGINT": T.LongType(), "INT": T.IntegerType(), "SMALLINT": T.ShortType(), "TINYINT": T.ByteType(), "DOUBLE": T.DoubleType(), "FLOAT": T.FloatType(), "BOOLEAN": T.BooleanType(), "BINARY": T.BinaryType()}
+
+
+def _parse(ddl: str) -> T.StructType:
+    """Flat DDL text to a struct type, without a session."""
+    fields = [f.split(maxsplit=2) for f in ddl.split(",")]
+    return T.StructType([T.StructField(f[0], _KINDS[f[1]], len(f) < 3) for f in fields])
+
+
 def register_schema(name: str, schema: T.StructType | str) -> T.StructType:
-    """Register a schema, as a struct type or DDL text; a name can't change its schema."""
-    s = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    """Register a schema, as a struct type or flat DDL text; a name can't change its schema."""
+    s = _parse(schema) if isinstance(schema, str) else schema
     if _REGISTRY.setdefault(name, s) != s:
         raise ValueError(f"{name} has another schema")
     return s

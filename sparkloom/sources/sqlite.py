@@ -57,7 +57,7 @@ def compress(values: str | Column, kind: str = "f8") -> Column:
 
     @F.pandas_udf("struct<blob:binary,length:int>")
     def run(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([encode_of(v, kind) if v is not None else (None, None) for v in s], columns=["blob", "length"]).astype({"length": "Int32"})
+        return pd.DataFrame([encode_of(v, kind) if v is not None else (None, None) for v in s], columns=["blob", "length"], dtype=object)
 
     return run(F.col(values) if isinstance(values, str) else values)
 
