@@ -18,8 +18,8 @@ from sparkloom.session import cut_lineage
 
 #: Pages with fewer words have no curve of their own.
 LEAST_WORDS = 16
-#: A page is a seed if its slope is so many spreads steeper, or its residual so many spreads larger, than that of
-#: same-language pages of comparable length.
+#: A page is a seed if its slope is so many spreads steeper, or its residual or divergence so many spreads larger, than that of
+#: same-language pages of comparable length; a diverging page only if it has fewer different words than these.
 EXTREME = 6.0
 #: A word's divergence counts if at least this share of the seeds has the word. As a page has some hundred different words,
 #: there are at most some hundred / SEED_SHARE such words, however large the corpus.
@@ -111,26 +111,42 @@ def _counts(rows: DataFrame) -> DataFrame:
 
 
 def page_curves(documents: DataFrame, doc_id: str, text: str = "text") -> DataFrame:
-    """Rank-frequency curve of each page: ``_id``, ``lang``, ``n_words``, ``slope``, ``residual``, ``slope_z``, ``residual_z``.
+    """Rank-frequency curve of each page: ``_id``, ``lang``, ``n_words``, ``n_different``, ``slope``, ``residual``, ``divergence`` and their z values.
 
-    ln frequency is fitted to ln rank over the words of a page. The z values hold slope and residual against the median
-    and spread (interquartile range) of pages of the same language and comparable length, half an octave.
+    ln frequency is fitted to ln rank over the words of a page. The divergence (Kullback-Leibler) holds the page's share of
+    words per rank, in classes of a quarter octave, against the mean of pages of the same language and comparable length, half
+    an octave. The z values hold each against the median and spread (interquartile range) of these pages; pages
+    without function words, of ``lang`` none, are held against pages of all languages. ``few`` tells whether a page has fewer
+    different words than the median page.
     """
     rows = documents.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_t")).where("_id is not null and _t is not null")
     words = _counts(rows).select("_id", "lang", F.explode("counts").alias("n"))
-    page = Window.partitionBy("_id")
-    ranked = words.withColumn("x", F.ln(F.row_number().over(page.orderBy(F.desc("n"))))).withColumn("y", F.ln("n"))
-    fitted = ranked.groupBy("_id").agg(F.min("lang").alias("lang"), F.sum("n").alias("n_words"), F.covar_pop("x", "y").alias("c"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy")).where(F.col("n_words") >= LEAST_WORDS)
-    # a page of a single word repeated has no slope: as steep as it gets
-    slope = F.when(F.col("vx") > 0, F.col("c") / F.col("vx")).otherwise(F.lit(-10.0))
-    residual = F.when(F.col("vx") > 0, F.sqrt(F.greatest(F.lit(0.0), F.col("vy") - F.col("c") * F.col("c") / F.col("vx")))).otherwise(F.lit(0.0))
-    curves = fitted.select("_id", "lang", "n_words", slope.alias("slope"), residual.alias("residual"), F.floor(2 * F.log2("n_words")).alias("size"))
-    quartiles = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    norms = curves.groupBy("lang", "size").agg(F.percentile_approx("slope", quartiles, 1000).alias("s"), F.percentile_approx("residual", quartiles, 1000).alias("r"))
-    # a row for each language and half octave
-    compared = curves.join(F.broadcast(norms), ["lang", "size"])
-    z = lambda v, q: (F.col(v) - F.col(q)[1]) / ((F.col(q)[2] - F.col(q)[0]) / 1.349 + 0.01)
-    return compared.select("_id", "lang", "n_words", "slope", "residual", z("slope", "s").alias("slope_z"), z("residual", "r").alias("residual_z"))
+    ranked = words.withColumn("k", F.row_number().over(Window.partitionBy("_id").orderBy(F.desc("n"))))
+    ranked = ranked.withColumn("x", F.ln("k")).withColumn("y", F.ln("n")).withColumn("class", F.floor(4 * F.log2("k")).cast("int"))
+    sums = ranked.groupBy("_id", "class").agg(F.min("lang").alias("lang"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("y") * F.col("y")).alias("yy"))
+    # at most 4 classes for each octave of ranks
+    page = sums.groupBy("_id").agg(F.min("lang").alias("lang"), *[F.sum(c).alias(c) for c in ("n", "v", "x", "y", "xx", "xy", "yy")], F.map_from_entries(F.collect_list(F.struct("class", F.col("n").alias("m")))).alias("mass")).where(F.col("n") >= LEAST_WORDS)
+    var = lambda a, b, ab: F.col(ab) / F.col("v") - F.col(a) * F.col(b) / F.col("v") / F.col("v")
+    vx, vy, c = F.greatest(var("x", "x", "xx"), F.lit(0.0)), var("y", "y", "yy"), var("x", "y", "xy")
+    # a page of one word has no slope: as steep as it gets
+    slope = F.when(vx > 0, c / vx).otherwise(F.lit(-10.0))
+    residual = F.when(vx > 0, F.sqrt(F.greatest(F.lit(0.0), vy - c * c / vx))).otherwise(F.lit(0.0))
+    share = F.transform_values("mass", lambda _, m: m / F.col("n"))
+    curves = cut_lineage(page.select("_id", "lang", F.col("n").alias("n_words"), F.col("v").alias("n_different"), slope.alias("slope"), residual.alias("residual"), share.alias("share"), F.floor(2 * F.log2("n")).alias("size")))
+
+    def peers(every: DataFrame, make) -> DataFrame:
+        """One row for each language and half octave, and for pages of no language one over all."""
+        return make(every.where("lang <> 'none'"), F.col("lang")).unionByName(make(every.drop("lang").withColumn("lang", F.lit("none")), F.col("lang")))
+
+    pages = peers(curves, lambda d, lang: d.groupBy(lang, "size").agg(F.count(F.lit(1)).alias("pages")))
+    mean = peers(curves, lambda d, lang: d.select(lang, "size", F.explode("share").alias("class", "p")).groupBy("lang", "size", "class").agg(F.sum("p").alias("p")))
+    usual = mean.join(F.broadcast(pages), ["lang", "size"]).groupBy("lang", "size").agg(F.map_from_entries(F.collect_list(F.struct("class", F.col("p") / F.col("pages")))).alias("usual"))
+    terms = F.transform(F.map_entries("share"), lambda e: e["value"] * F.ln(e["value"] / F.greatest(F.coalesce(F.try_element_at("usual", e["key"]), F.lit(0.0)), F.lit(1e-6))))
+    curves = curves.join(F.broadcast(usual), ["lang", "size"]).withColumn("divergence", F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)).drop("share", "usual")
+    measures = ("slope", "residual", "divergence")
+    norms = peers(curves, lambda d, lang: d.groupBy(lang, "size").agg(*[F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"_{m}") for m in measures], F.percentile_approx("n_different", 0.5, 1000).alias("_different")))
+    z = lambda m: ((F.col(m) - F.col(f"_{m}")[1]) / ((F.col(f"_{m}")[2] - F.col(f"_{m}")[0]) / 1.349 + 0.01)).alias(f"{m}_z")
+    return curves.join(F.broadcast(norms), ["lang", "size"]).select("_id", "lang", "n_words", "n_different", *measures, *[z(m) for m in measures], (F.col("n_different") < F.col("_different")).alias("few"))
 
 
 def _page_words(rows: DataFrame) -> DataFrame:
@@ -206,7 +222,8 @@ def spam_pages(documents: DataFrame, doc_id: str, text: str = "text", *, rounds:
     rows = documents.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_t")).where("_id is not null and _t is not null")
     everywhere = cut_lineage(_page_words(rows))
     curves = page_curves(documents, doc_id, text)
-    seeds = cut_lineage(curves.where((F.col("slope_z") < -EXTREME) | (F.col("residual_z") > EXTREME)).select("_id"))
+    repetitive = (F.col("slope_z") < -EXTREME) | (F.col("residual_z") > EXTREME) | ((F.col("divergence_z") > EXTREME) & F.col("few"))
+    seeds = cut_lineage(curves.where(repetitive).select("_id"))
     shares = None
     for k in range(rounds):
         if k:
