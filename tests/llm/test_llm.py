@@ -49,8 +49,8 @@ def test_anchor_decides_exactly(spark):
 
 # --- nearest in time ---------------------------------------------------------------------------------------------
 
-@pytest.mark.parametrize("tolerance", [0.0, 1.75, 40.0])
-def test_nearest_in_time(spark, tolerance):
+@pytest.mark.parametrize(("tolerance", "dense"), [(0.0, 256), (1.75, 256), (1.75, 1), (40.0, 3)])
+def test_nearest_in_time(spark, tolerance, dense):
     rng = random.Random(7)
     a = [(rng.choice([1, 2, None]), rng.randint(0, 400) / 8, i) for i in range(300)] + [(1, None, 900), (1, float("nan"), 901), (1, math.inf, 902)]
     b = [(rng.choice([1, 2, 3]), rng.randint(0, 400) / 8, 1000 + i) for i in range(60)] + [(1, None, 5)]
@@ -61,7 +61,7 @@ def test_nearest_in_time(spark, tolerance):
         c = [(abs(t - u), u, j) for f, u, j in b if e is not None and t is not None and u is not None and e == f and abs(t - u) <= tolerance]
         if c:
             expected.add((i, min(c)[2]))
-    got = nearest_time.nearest_within(left, right, "e", "t", "l", "r", tolerance).collect()
+    got = nearest_time.nearest_within(left, right, "e", "t", "l", "r", tolerance, dense=dense).collect()
     assert len(got) == len(expected) and {(r["l"], r["r"]) for r in got} == expected
     assert nearest_time.nearest_within(left.limit(0), right, "e", "t", "l", "r", 1.0).count() == 0
     assert nearest_time.nearest_within(left, right.limit(0), "e", "t", "l", "r", 1.0).count() == 0
