@@ -6,6 +6,8 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import accumulate
+from operator import sub
 
 import numpy as np
 import pandas as pd
@@ -32,6 +34,7 @@ _LINE_END_HYPHEN = re.compile(r"[-­‐‑][ \t]*\r?\n\s*")
 _HIDDEN = re.compile(r"[­​-‏⁠﻿̀-ͯ]")
 _WORD = re.compile(r"[^\W_]+")
 #: Letters that no decomposition turns into plain ones.
+_ODD = re.compile("[æœøđłı]")
 _PLAIN = str.maketrans({"æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ł": "l", "ı": "i"})
 
 
@@ -42,7 +45,10 @@ def words(text: str | None) -> list[str]:
     if "&" in text:
         text = html.unescape(text)
     text = _LINE_END_HYPHEN.sub("", _TAG.sub(" ", text))
-    return _WORD.findall(_HIDDEN.sub("", unicodedata.normalize("NFKD", text.casefold())).translate(_PLAIN))
+    if text.isascii():
+        return _WORD.findall(text.lower())
+    plain = _HIDDEN.sub("", unicodedata.normalize("NFKD", text.casefold()))
+    return _WORD.findall(plain.translate(_PLAIN) if _ODD.search(plain) else plain)
 
 
 def build_index(items: list[tuple[object, str]]) -> dict:
@@ -67,33 +73,41 @@ def build_index(items: list[tuple[object, str]]) -> dict:
     order = np.argsort(key, kind="stable")
     patterns, first, count = np.unique(key[order], return_index=True, return_counts=True)
     where = np.array(starts, np.int64).reshape(-1, 2)[order]
-    runs: list[dict] = []
+    runs: list[dict] = []  # where each block stands in each item
     for c in coded:
-        own: dict[tuple, list[int]] = {}
-        for p, pair in enumerate(zip(c.tolist(), c[1:].tolist())):
-            own.setdefault(pair, []).append(p)
+        own: dict[int, list[int]] = {}
+        for p, block in enumerate(np.searchsorted(pairs, c[:-1] * width + c[1:]).tolist() if len(c) >= PATTERN else []):
+            own.setdefault(block, []).append(p)
         runs.append(own)
-    return {"ids": [i for i, _ in items], "vocabulary": vocabulary, "width": width, "pairs": pairs, "shift": shift, "patterns": patterns, "first": first, "count": count, "item": where[:, 0], "at": where[:, 1], "lengths": [len(t) for t in texts], "runs": runs}
+    blocks = np.array(sorted(k * (len(pairs) + 1) + b for k, own in enumerate(runs) for b in own), np.int64)
+    return {"ids": [i for i, _ in items], "vocabulary": vocabulary, "width": width, "pairs": pairs, "shift": shift, "patterns": patterns, "first": first, "count": count, "item": where[:, 0], "at": where[:, 1], "lengths": [len(t) for t in texts], "runs": runs, "blocks": blocks}
 
 
-def scan(index: dict, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of patterns in a row of word codes, and the patterns' numbers.
+def block_numbers(index: dict, codes: np.ndarray) -> np.ndarray:
+    """Number of the block of two words that ends at each place; one more than all numbers where no item has it."""
+    pairs = index["pairs"]
+    block = np.full(len(codes), len(pairs), np.int64)
+    known = np.flatnonzero((codes[1:] > 0) & (codes[:-1] > 0)) + 1
+    if len(pairs) and len(known):
+        value = codes[known - 1] * index["width"] + codes[known]
+        at = np.minimum(np.searchsorted(pairs, value), len(pairs) - 1)
+        block[known] = np.where(pairs[at] == value, at, len(pairs))
+    return block
+
+
+def scan(index: dict, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of patterns in a row of words, given by their blocks, and the patterns' numbers.
 
     Many places of the row are searched side by side. At each, the block before it tells how far to move on; where it
     tells 0, the bucket of that suffix is compared word by word.
     """
     pairs, shift = index["pairs"], index["shift"]
     none = np.zeros(0, np.int64)
-    if len(codes) < PATTERN or not len(pairs):
+    if len(block) < PATTERN or not len(pairs):
         return none, none
-    block = np.full(len(codes), len(pairs), np.int64)  # number of the block that ends here
-    known = np.flatnonzero((codes[1:] > 0) & (codes[:-1] > 0)) + 1
-    value = codes[known - 1] * index["width"] + codes[known]
-    at = np.minimum(np.searchsorted(pairs, value), len(pairs) - 1)
-    block[known] = np.where(pairs[at] == value, at, len(pairs))
     lane = 64
-    here = np.arange(PATTERN - 1, len(codes), lane)
-    end = np.minimum(here + lane, len(codes))
+    here = np.arange(PATTERN - 1, len(block), lane)
+    end = np.minimum(here + lane, len(block))
     found = []
     while len(here):
         move = shift[block[here]]
@@ -110,13 +124,15 @@ def scan(index: dict, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hits[same] - (PATTERN - 1), bucket[same]
 
 
-def _best_passage(index: dict, item: int, doc: list[int]) -> tuple[int, int]:
+def _best_passage(index: dict, item: int, block: np.ndarray) -> tuple[int, int]:
     """Length and altered words of the longest passage of the item that the words hold, both ends equal; (0, 0) if none."""
-    own = index["runs"][item]
+    own, blocks = index["runs"][item], index["blocks"]
+    value = item * (len(index["pairs"]) + 1) + block
+    shared = np.flatnonzero(blocks[np.minimum(np.searchsorted(blocks, value), len(blocks) - 1)] == value)
     runs: list[tuple[int, int, int]] = []  # start in the item, start in the document, words
     open_runs: dict[int, list[int]] = {}
-    for j in range(len(doc) - 1):
-        for p in own.get((doc[j], doc[j + 1]), ()):
+    for j, b in zip((shared - 1).tolist(), block[shared].tolist()):
+        for p in own[b]:
             r = open_runs.get(j - p)
             if r is not None and r[1] + r[2] - 1 == j:
                 r[2] += 1
@@ -125,6 +141,13 @@ def _best_passage(index: dict, item: int, doc: list[int]) -> tuple[int, int]:
                     runs.append(tuple(r))
                 open_runs[j - p] = [p, j, 2]
     runs.extend(map(tuple, open_runs.values()))
+    # no order of the runs can hold more words of the item than all of them together
+    held = bytearray(index["lengths"][item])
+    for p, _, n in runs:
+        held[p : p + n] = b"\1" * n
+    upto = [0, *accumulate(held)]
+    if max(map(sub, upto[LEAST_WORDS:], upto), default=0) < LEAST_WORDS - LEAST_WORDS // ONE_IN:
+        return 0, 0
     runs.sort()
     score, back, cut_at = [float(r[2]) for r in runs], [-1] * len(runs), [0] * len(runs)
     for k, (p, j, n) in enumerate(runs):
@@ -132,8 +155,11 @@ def _best_passage(index: dict, item: int, doc: list[int]) -> tuple[int, int]:
             pm, jm, nm = runs[m]
             if pm == p or jm >= j + n:
                 continue
-            cut = max(0, pm + nm - p, jm + nm - j)
-            if cut >= n:
+            cut, over = pm + nm - p, jm + nm - j
+            cut = cut if cut > over else over
+            if cut < 0:
+                cut = 0
+            elif cut >= n:
                 continue
             lost, between = p + cut - pm - nm, j + cut - jm - nm
             if lost <= LOST and between <= INSERTED + lost:
@@ -171,7 +197,8 @@ def search(index: dict, texts: list[str | None]) -> list[tuple[int, object, int,
         begin[i] = len(flat)
         flat += c
         flat += gap
-    start, pattern = scan(index, np.array(flat, np.int64))
+    block = block_numbers(index, np.array(flat, np.int64))
+    start, pattern = scan(index, block)
     if not len(start):
         return []
     n = index["count"][pattern]
@@ -185,24 +212,23 @@ def search(index: dict, texts: list[str | None]) -> list[tuple[int, object, int,
     spans: dict[int, tuple[int, int]] = {}
     for half in (0, BAND // 2):
         band = pair * (1 << 32) + (turn + half) // BAND
-        order = np.argsort(band, kind="stable")
-        edge = np.flatnonzero(np.diff(band[order], prepend=-1))
-        size = np.diff(edge, append=len(order))
-        for e, s in zip(edge[size >= SEEDS].tolist(), size[size >= SEEDS].tolist()):
-            rows = order[e : e + s]
-            a = np.unique(at[rows])
-            # some LEAST_WORDS words of the item must hold SEEDS patterns
-            if len(a) < SEEDS or (a[SEEDS - 1 :] - a[: len(a) - SEEDS + 1]).min() > LEAST_WORDS - PATTERN:
-                continue
-            p = place[rows]
-            k = int(pair[rows[0]])
-            lo, hi = spans.get(k, (1 << 60, -1))
-            spans[k] = min(lo, int(p.min())), max(hi, int(p.max()))
+        order = np.lexsort((place, at, band))
+        band, a, p = band[order], at[order], place[order]
+        first = np.ones(len(a), bool)  # the same place of an item counts once
+        first[1:] = (band[1:] != band[:-1]) | (a[1:] != a[:-1])
+        b, a1 = band[first], a[first]
+        # some LEAST_WORDS words of the item must hold SEEDS patterns
+        near = (b[SEEDS - 1 :] == b[: -SEEDS + 1]) & (a1[SEEDS - 1 :] - a1[: -SEEDS + 1] <= LEAST_WORDS - PATTERN)
+        for x in np.unique(b[: -SEEDS + 1][near]).tolist():
+            lo, hi = np.searchsorted(band, (x, x + 1))
+            k = x >> 32
+            low, high = spans.get(k, (1 << 60, -1))
+            spans[k] = min(low, int(p[lo:hi].min())), max(high, int(p[lo:hi].max()))
     out = []
     for k, (lo, hi) in spans.items():
         d, i = divmod(k, len(index["ids"]))
-        lo, hi = lo - begin[d] - 2 * LEAST_WORDS, hi - begin[d] + PATTERN + 2 * LEAST_WORDS
-        length, altered = _best_passage(index, i, coded[d][max(0, lo) : hi])
+        lo, hi = max(lo - 2 * LEAST_WORDS, begin[d]), min(hi + PATTERN + 2 * LEAST_WORDS, begin[d] + len(coded[d]))
+        length, altered = _best_passage(index, i, block[lo:hi])
         if length >= LEAST_WORDS:
             out.append((d, index["ids"][i], length, altered))
     return out

@@ -166,14 +166,14 @@ def test_scan_finds_all_patterns():
     index = leaks.build_index(items)
     text = [rng.choice([*small, "other", "words"]) for _ in range(3000)]
     codes = np.array([index["vocabulary"].get(w, 0) for w in text])
-    at, pattern = leaks.scan(index, codes)
+    at, pattern = leaks.scan(index, leaks.block_numbers(index, codes))
     grams = {tuple(t.split()[p : p + 4]) for _, t in items for p in range(len(t.split()) - 3)}
     assert sorted(at.tolist()) == [p for p in range(len(text) - 3) if tuple(text[p : p + 4]) in grams]
     for p, k in zip(at.tolist(), pattern.tolist()):
         i, q = index["item"][index["first"][k]], index["at"][index["first"][k]]
         assert items[i][1].split()[q : q + 4] == text[p : p + 4]
     empty = leaks.build_index([])
-    assert len(leaks.scan(empty, codes)[0]) == 0 and leaks.search(index, ["", None, "x"]) == []
+    assert len(leaks.scan(empty, leaks.block_numbers(empty, codes))[0]) == 0 and leaks.search(index, ["", None, "x"]) == []
 
 
 def test_words():
