@@ -50,5 +50,5 @@ def check_lengths(df: DataFrame, array: str, length: int) -> DataFrame:
 
 def channel_trace(trace: DataFrame, channel: str) -> DataFrame:
     """Times and intensities of one channel as two arrays."""
-    rows = trace.where(F.col("channel_id") == channel).withColumn("_k", F.lit(0))
-    return rows_to_arrays(rows, "_k", "time_s", "time_s", "intensity").drop("_k")
+    rows = trace.where(F.col("channel_id") == channel).select(F.lit(0).alias("_k"), F.col("time_s").alias("_t"), "time_s", "intensity")
+    return rows_to_arrays(rows, "_k", "_t", "time_s", "intensity").drop("_k")
