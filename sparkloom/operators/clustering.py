@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left, insort
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from sparkloom.columns import names
 from sparkloom.operators.aggregates import CANONICAL_MOTIFS
 from sparkloom.operators.relational import dense_ids
+from sparkloom.session import cut_lineage, shuffle_partitions
 
 
 def junctions(blocks: DataFrame, alignments: DataFrame) -> DataFrame:
@@ -67,24 +69,32 @@ def cluster_junctions(introns: DataFrame, *, tolerance: int = 5) -> DataFrame:
     stretch = starts.withColumn("_stretch", F.sum(F.col("_far").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_far")
     rows = rows.join(stretch, ["contig_id", "strand", "donor_pos"])
 
+    def every(df: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([greedy(part) for _, part in df.groupby(["contig_id", "strand"], sort=False, dropna=False)])
+
     def greedy(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values(["_n", "_motif", "donor_pos", "acceptor_pos"], ascending=[False, True, True, True], kind="stable")
         donors, acceptors = df["donor_pos"].to_numpy(), df["acceptor_pos"].to_numpy()
-        seeds: list[tuple[int, int, int]] = []  # donor, order, row
-        chosen = np.empty(len(df), np.int64)
-        for i in range(len(df)):
-            near = [s for s in seeds if abs(s[0] - donors[i]) <= tolerance and abs(acceptors[s[2]] - acceptors[i]) <= tolerance]
-            if near:
-                chosen[i] = min(near)[2]
+        seeds: list[tuple[int, int]] = []  # donor, row; rows are in order of support, so equal donors keep that order
+        chosen = np.arange(len(df))
+        for i, (d, a) in enumerate(zip(donors.tolist(), acceptors.tolist())):
+            for k in range(bisect_left(seeds, (d - tolerance, -1)), len(seeds)):
+                if seeds[k][0] > d + tolerance:
+                    insort(seeds, (d, i))
+                    break
+                if abs(acceptors[seeds[k][1]] - a) <= tolerance:
+                    chosen[i] = seeds[k][1]
+                    break
             else:
-                seeds.append((int(donors[i]), len(seeds), i))
-                chosen[i] = i
+                insort(seeds, (d, i))
         out = df.copy()
         out["_sd"], out["_sa"], out["_sn"], out["_sm"] = donors[chosen], acceptors[chosen], df["_n"].to_numpy()[chosen], df["_motif"].to_numpy()[chosen]
         return out
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    grouped = rows.groupBy("contig_id", "strand", "_stretch").applyInPandas(greedy, schema + ", _sd long, _sa long, _sn long, _sm int")
+    # stretches never meet: any of them may go to Python together, so each task gets a few large groups instead of many small ones
+    rows = rows.withColumn("_stretch", F.pmod(F.xxhash64("contig_id", "strand", "_stretch"), F.lit(4 * shuffle_partitions(introns.sparkSession))))
+    grouped = cut_lineage(rows.groupBy("_stretch").applyInPandas(every, schema + ", _sd long, _sa long, _sn long, _sm int"))
     numbered = dense_ids(grouped.withColumn("_sn", -F.col("_sn")), ["_sn", "_sm", "contig_id", "_sd", "_sa", "strand"], "cluster_id")
     seed = (F.col("_sd") == F.col("donor_pos")) & (F.col("_sa") == F.col("acceptor_pos"))
     return numbered.withColumn("is_seed", seed).select(*introns.columns, "cluster_id", "is_seed")

@@ -789,16 +789,14 @@ def _(t):
 
 # --- statistics --------------------------------------------------------------------------------------------------
 
-@query("credible_intervals", "SELECT SourceFile, round(quantile_cont(Actual, 0.025), 4) AS lo, round(quantile_cont(Actual, 0.975), 4) AS hi FROM retentiontimes WHERE Actual IS NOT NULL GROUP BY 1")
+@query("credible_intervals", "SELECT SourceFile, round(quantile_cont(Actual, 0.025), 6) AS lo, round(quantile_cont(Actual, 0.975), 6) AS hi FROM retentiontimes WHERE Actual IS NOT NULL GROUP BY 1")
 def _(t):
-    return stats.credible_interval(t.retentiontimes.where("Actual IS NOT NULL"), "SourceFile", "Actual").select("SourceFile", r("lo").alias("lo"), r("hi").alias("hi"))
+    return stats.credible_interval(t.retentiontimes.where("Actual IS NOT NULL"), "SourceFile", "Actual").select("SourceFile", r("lo", 6).alias("lo"), r("hi", 6).alias("hi"))
 
 
-@query("log_linear_fit", """
-WITH v AS (SELECT SourceFile, Predicted AS y, ln(CASE WHEN isnan(Actual) OR Actual <= 0 THEN NULL ELSE Actual END) AS x FROM retentiontimes WHERE Predicted IS NOT NULL)
-SELECT SourceFile, round(regr_slope(y, x), 3) AS slope, round(regr_intercept(y, x), 2) AS intercept FROM v WHERE x IS NOT NULL GROUP BY 1""")
+@query("log_linear_fit", "SELECT l_returnflag, round(regr_slope(l_extendedprice, ln(l_quantity)), 3) AS slope, round(regr_intercept(l_extendedprice, ln(l_quantity)), 2) AS intercept FROM lineitem WHERE l_quantity > 0 GROUP BY 1")
 def _(t):
-    return stats.log_linear(t.retentiontimes.where("NOT isnan(Actual) AND NOT isnan(Predicted)"), "SourceFile", "Actual", "Predicted").select("SourceFile", r("slope", 3).alias("slope"), r("intercept", 2).alias("intercept"))
+    return stats.log_linear(t.lineitem, "l_returnflag", "l_quantity", "l_extendedprice").select("l_returnflag", r("slope", 3).alias("slope"), r("intercept", 2).alias("intercept"))
 
 
 @query("normal_log_density", f"SELECT o_orderkey, round(-0.5 * pow((o_totalprice - 150000) / 80000, 2) - ln(80000) - {0.5 * math.log(2 * math.pi)!r}, 6) AS d FROM orders")
