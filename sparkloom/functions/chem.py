@@ -7,7 +7,7 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Isotope masses and natural abundances of the elements in use (NIST).
@@ -260,6 +260,20 @@ def fragment_ladders(df: DataFrame, ident: str, sequence: str, *, ions: str = "b
     return df.select(ident, F.col(sequence).alias("_s")).where(F.col("_s").rlike(known)).mapInPandas(run, f"{ident} {kind}, ion string, position int, charge int, loss string, mz double")
 
 
+def ladder_rows(df: DataFrame, ident: str, sequence: str) -> DataFrame:
+    """b and y ions of charge 1 in long form, by running sums over residues: ident, ion, position, mz. Unknown residues give nulls."""
+    table = F.create_map(*[F.lit(x) for kv in residue_masses().items() for x in kv])
+    letters = F.filter(F.split(F.col(sequence), ""), lambda x: x != "")
+    r = df.select(F.col(ident).alias("_id"), F.posexplode(letters).alias("i", "r")).withColumn("m", F.try_element_at(table, F.col("r")))
+    w = Window.partitionBy("_id")
+    upto = w.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    s = r.select("_id", (F.col("i") + 1).alias("k"), F.sum("m").over(upto).alias("s"), F.sum("m").over(w).alias("whole"), F.count(F.lit(1)).over(w).cast("int").alias("n")).where("k < n")
+    ion = lambda kind, position, mz_: F.struct(F.lit(kind).alias("ion"), position.alias("position"), mz_.alias("mz"))
+    b = ion("b", F.col("k"), F.col("s") + PROTON)
+    y = ion("y", F.col("n") - F.col("k"), F.col("whole") - F.col("s") + mass_of(parse_formula_of(WATER)) + PROTON)
+    return s.select(F.col("_id").alias(ident), F.inline(F.array(b, y)))
+
+
 def by_ladder(sequence: str | Column) -> Column:
     """b and y ions of charge 1 as an array of structs, by running sums within the JVM."""
     c = F.col(sequence) if isinstance(sequence, str) else sequence

@@ -24,16 +24,19 @@ def norm(a: str | Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def _each(a: Column, scalar: Column, f) -> Column:
+    """f(element, scalar) for each element; the scalar is computed once for an array, not once for an element."""
+    return F.zip_with(a, F.array_repeat(scalar, F.size(a)), f)
+
+
 def l1_normalize(a: str | Column, *, pseudocount: float = 0.0) -> Column:
     """Each value over the sum; zeros where the sum is 0. A pseudocount is added first."""
     v = F.transform(_col(a), lambda x: x + F.lit(pseudocount)) if pseudocount else _col(a)
-    s = total(v)
-    return F.transform(v, lambda x: F.when(s != 0, x / s).otherwise(0.0))
+    return _each(v, total(v), lambda x, s: F.when(s != 0, x / s).otherwise(0.0))
 
 
 def l2_normalize(a: str | Column) -> Column:
-    n = norm(a)
-    return F.transform(_col(a), lambda x: F.when(n != 0, x / n).otherwise(0.0))
+    return _each(_col(a), norm(a), lambda x, n: F.when(n != 0, x / n).otherwise(0.0))
 
 
 def cosine(a: str | Column, b: str | Column) -> Column:
@@ -47,7 +50,7 @@ normalized_dot = cosine
 
 def pearson(a: str | Column, b: str | Column) -> Column:
     """Cosine of the centred arrays."""
-    centred = lambda v: F.transform(_col(v), lambda x: x - total(v) / F.size(_col(v)))
+    centred = lambda v: _each(_col(v), total(v) / F.size(_col(v)), lambda x, m: x - m)
     return cosine(centred(a), centred(b))
 
 

@@ -723,7 +723,7 @@ i AS (SELECT p, m, unnest(range(1, len(m))) AS k FROM m)
 SELECT p, 'b' AS ion, CAST(k AS INTEGER) AS position, round(CAST(list_sum(m[1:k]) + {chem.PROTON!r} AS DOUBLE), 4) AS mz FROM i UNION ALL SELECT p, 'y', CAST(k AS INTEGER), round(CAST(list_sum(m[len(m) - k + 1:]) + {_WATER!r} + {chem.PROTON!r} AS DOUBLE), 4) FROM i""")
 def _(t):
     known = _dna(t).where(F.col("p").rlike(f"^[{''.join(chem.RESIDUES)}]+$"))
-    return known.select("p", F.inline(chem.by_ladder("p"))).withColumn("mz", r("mz"))
+    return chem.ladder_rows(known.withColumn("s", F.col("p")), "p", "s").withColumn("mz", r("mz"))
 
 
 @query("fragment_ladder_losses")

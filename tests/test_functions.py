@@ -105,6 +105,8 @@ def test_chemistry(spark):
     assert ladder["b", 2] == pytest.approx(227.1026, abs=1e-3) and ladder["y", 1] == pytest.approx(148.0604, abs=1e-3)
     by = {(x["ion"], x["position"]): x["mz"] for x in one(spark, "PEPTIDE", chem.by_ladder("s"))}
     assert by == pytest.approx(ladder)
+    rows = chem.ladder_rows(spark.createDataFrame([(1, "PEPTIDE"), (2, "A"), (3, "")], "k int, s string"), "k", "s").collect()
+    assert {(x["ion"], x["position"]): x["mz"] for x in rows} == pytest.approx(ladder) and {x["k"] for x in rows} == {1}
     lost = {(f[0], f[1], f[3]) for f in chem.fragments_of("AGSK", losses=("H2O", "H3PO4"))}
     assert ("b", 3, "H2O") in lost and ("b", 1, "H2O") not in lost and not any(x[2] == "H3PO4" for x in lost)
     assert chem.find_modifications(15.9949) == ["UNIMOD:35"]
