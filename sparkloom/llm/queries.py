@@ -18,6 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and texts of the documents. A scan of fewer partitions than there are cores, as of one small file, is spread over all."""
+    scan = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files and percentiles of Delta beyond 45 s: the limit is an edge of a bucket, so the sketch decides exactly."""
     days = p1_daily_sketches(spark, sf_dir)
@@ -85,30 +92,30 @@ SELECT ProteinAccession, PeptideModSeq FROM ranked WHERE k <= 3
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of 2,048 tokens that holds each text, or each piece of a longer text."""
-    counts = packing.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    counts = packing.token_counts(texts(spark, sf_dir), "doc_id", "text")
     return packing.pack(counts.withColumnRenamed("_id", "doc_id"), "doc_id", "_n", 2048)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that repeat a passage of an evaluation item."""
-    found = leaks.leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), "doc_id", "item_id")
+    found = leaks.leaked_passages(texts(spark, sf_dir), table(spark, sf_dir, "eval_items"), "doc_id", "item_id")
     return found.select("item_id", "doc_id")
 
 
 def p8_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and longest repeated passage of each leaked item."""
-    found = leaks.leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), "doc_id", "item_id")
+    found = leaks.leaked_passages(texts(spark, sf_dir), table(spark, sf_dir, "eval_items"), "doc_id", "item_id")
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("words").alias("longest"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with more than half of their words in keyword matter."""
-    return spam.spam_pages(table(spark, sf_dir, "documents"), "doc_id").where("share > 0.5").select("doc_id")
+    return spam.spam_pages(texts(spark, sf_dir), "doc_id").where("share > 0.5").select("doc_id")
 
 
 def p9_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank-frequency curve of each page against its peers."""
-    return spam.page_curves(table(spark, sf_dir, "documents"), "doc_id").withColumnRenamed("_id", "doc_id")
+    return spam.page_curves(texts(spark, sf_dir), "doc_id").withColumnRenamed("_id", "doc_id")
 
 
 QUERIES = {"p1_found": p1_found, "p1_daily_sketches": p1_daily_sketches, "p1_percentiles": p1_percentiles, "p3_found": p3_found, "p6_found": p6_found, "p7_containers": p7_containers, "p8_found": p8_found, "p8_leaked_items": p8_leaked_items, "p9_found": p9_found, "p9_curves": p9_curves}
