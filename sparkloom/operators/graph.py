@@ -187,15 +187,19 @@ def roll_up_genes(exons: DataFrame, introns: DataFrame, *, min_support: int = 3)
     return j.select("exon_id", "gene_id").join(span, "gene_id")
 
 
-def collision_losers(entries: DataFrame, *, rt_seconds: float = 5.0, ppm: float = 10.0, min_shared: int = 4) -> DataFrame:
+def collision_losers(entries: DataFrame, *, rt_seconds: float = 5.0, ppm: float = 10.0, min_shared: int = 4, form: str | None = None) -> DataFrame:
     """Entries that collide with a better-scored one: ``entry_id``, ``component``, ``winner``.
 
     ``entries``: entry_id, window_id, rt, score, mz_list. Two entries of one window collide if their times differ by less than
     ``rt_seconds`` (strictly) and they share ions. The lowest score of a component wins; null scores neither win nor lose.
+    ``entry_id`` is unique. With a column ``form``, spectra of one form never collide with each other.
     """
-    a = entries.select("window_id", F.col("entry_id").alias("a"), F.col("rt").alias("_ra"), F.col("mz_list").alias("_ma")).withColumn("_b", F.floor(F.col("_ra") / rt_seconds))
-    b = entries.select("window_id", F.col("entry_id").alias("b"), F.col("rt").alias("_rb"), F.col("mz_list").alias("_mb"), F.explode(F.sequence(F.floor(F.col("rt") / rt_seconds) - 1, F.floor(F.col("rt") / rt_seconds) + 1)).alias("_b"))
+    same = F.lit(None).cast("string") if form is None else F.col(form)
+    a = entries.select("window_id", F.col("entry_id").alias("a"), same.alias("_fa"), F.col("rt").alias("_ra"), F.col("mz_list").alias("_ma")).withColumn("_b", F.floor(F.col("_ra") / rt_seconds))
+    b = entries.select("window_id", F.col("entry_id").alias("b"), same.alias("_fb"), F.col("rt").alias("_rb"), F.col("mz_list").alias("_mb"), F.explode(F.sequence(F.floor(F.col("rt") / rt_seconds) - 1, F.floor(F.col("rt") / rt_seconds) + 1)).alias("_b"))
     near = a.join(b, ["window_id", "_b"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("_ra") - F.col("_rb")) < rt_seconds))
+    if form is not None:
+        near = near.where(F.coalesce(F.col("_fa") != F.col("_fb"), F.lit(True)))
     edges = near.where(shared_ions("_ma", "_mb", ppm) >= min_shared).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     edges = cut_lineage(edges)
     c = connected_components(edges.select(F.col("src").alias("node")), edges).select(F.col("node").alias("entry_id"), "component")

@@ -586,8 +586,13 @@ def _(t):
 
 @query("collision_losers")
 def _(t):
-    e = t.entries.where("deleted_at IS NULL").select(F.concat_ws("/", "PeptideModSeq", "PrecursorCharge", "SourceFile").alias("entry_id"), F.floor(F.col("PrecursorMz") / 25).alias("window_id"), F.col("RTInSeconds").alias("rt"), F.col("Score").alias("score"), sqlite.decompress_mz("MassArray").alias("mz_list"))
-    return graph.collision_losers(e.dropDuplicates(["entry_id"]), ppm=10.0, min_shared=3)
+    live = t.entries.where("deleted_at IS NULL")
+    # rows that differ in nothing but loaded_at are re-loads of one spectrum; the first load counts
+    whole = F.hex(F.xxhash64(*[c for c in live.columns if c not in ("loaded_at", "deleted_at")]))
+    own = F.concat_ws("/", "PeptideModSeq", "PrecursorCharge", "SourceFile", "RTInSeconds", whole).alias("entry_id")
+    e = live.groupBy(own).agg(F.min(F.struct("loaded_at", "PeptideModSeq", "PrecursorMz", "RTInSeconds", "Score", "MassArray")).alias("e")).select("entry_id", "e.*")
+    e = e.select("entry_id", F.floor(F.col("PrecursorMz") / 25).alias("window_id"), F.col("RTInSeconds").alias("rt"), F.col("Score").alias("score"), F.col("PeptideModSeq").alias("form"), sqlite.decompress_mz("MassArray").alias("mz_list"))
+    return graph.collision_losers(e, ppm=10.0, min_shared=3, form="form")
 
 
 @query("near_precursors", """
