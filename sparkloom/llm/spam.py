@@ -21,8 +21,9 @@ LEAST_WORDS = 16
 #: A page is a seed if its slope is so many spreads steeper, or its residual or divergence so many spreads larger, than that of
 #: same-language pages of comparable length; a diverging page only if it has fewer different words than these.
 EXTREME = 6.0
-#: A word's divergence counts if at least this share of the seeds has the word. As a page has some hundred different words,
-#: there are at most some hundred / SEED_SHARE such words, however large the corpus.
+#: Words that at least this share of the seeds, or of all pages, has are sent to every task; all others are joined to the pages
+#: that have them. As a page has some hundred different words, there are at most some hundred / SEED_SHARE of the former each,
+#: however large the corpus. No result depends on it.
 SEED_SHARE = 0.002
 #: A word's divergence is the log of its page rate in seeds over that in prose, between these limits.
 WORD_LIMITS = (-2.0, 3.0)
@@ -163,28 +164,33 @@ def _page_words(rows: DataFrame) -> DataFrame:
     return rows.select("_t").mapInPandas(count, "word string, pages long").groupBy("word").agg(F.sum("pages").alias("pages"))
 
 
-def _divergence(rows: DataFrame, everywhere: DataFrame, seeds: DataFrame) -> dict[str, float]:
-    """Divergence of each word that enough seeds have, bounded in number by SEED_SHARE."""
+def _divergence(rows: DataFrame, everywhere: DataFrame, seeds: DataFrame) -> tuple[dict[str, float], DataFrame | None]:
+    """Divergence of each word of the seeds: of frequent words by word, of all others as a table ``word``, ``w``.
+
+    Frequent words that no seed has are among the former with 0. Without seeds there are none.
+    """
     n_all = rows.count()
     marked = rows.join(seeds.select("_id").distinct(), "_id", "left_semi")
     n_seeds = marked.count()
     if not n_seeds:
-        return {}
-    least = max(2.0, SEED_SHARE * n_seeds)
-    own = _page_words(marked).where(F.col("pages") >= least).withColumnRenamed("pages", "in_seeds")
-    both = own.join(everywhere, "word").select("word", "in_seeds", F.greatest(F.col("pages") - F.col("in_seeds"), F.lit(0)).alias("in_prose"))
+        return {}, None
+    own = _page_words(marked).withColumnRenamed("pages", "in_seeds")
+    both = everywhere.where(F.col("word") != "#").join(own, "word", "left").na.fill(0, subset=["in_seeds"]).withColumn("in_prose", F.greatest(F.col("pages") - F.col("in_seeds"), F.lit(0)))
     low, high = WORD_LIMITS
     rate = lambda c, n: F.ln((F.col(c) + 0.5) / F.lit(n + 1.0))
     weight = F.greatest(F.lit(low), F.least(F.lit(high), rate("in_seeds", n_seeds) - rate("in_prose", max(n_all - n_seeds, 0))))
-    return {r["word"]: r["w"] for r in both.select("word", weight.alias("w")).where(F.col("word") != "#").collect()}
+    frequent = (F.col("in_seeds") >= max(2.0, SEED_SHARE * n_seeds)) | (F.col("pages") >= max(2.0, SEED_SHARE * n_all))
+    words = cut_lineage(both.where(frequent | (F.col("in_seeds") > 0)).select("word", F.when(F.col("in_seeds") > 0, weight).otherwise(F.lit(0.0)).alias("w"), frequent.alias("frequent")))
+    return {r["word"]: r["w"] for r in words.where("frequent").collect()}, words.where("NOT frequent").select("word", "w")
 
 
-def _flagged_share(weights: dict[str, float], text: str | None, memo: dict) -> tuple[int, float]:
-    """Words of a page, and the share of them that lies in diverging matter."""
+def _flagged_share(text: str | None, memo: dict, own: dict[str, float]) -> tuple[int, float]:
+    """Words of a page, and the share of them that lies in diverging matter; ``own`` has divergences of words that memo leaves open."""
     t = tokens(text)
     if not t:
         return 0, 0.0
-    w = np.array([memo[x] for x in t])  # NaN: nothing to compare, as in marks that separate
+    # NaN: nothing to compare, as in marks that separate
+    w = np.array([max(known, max(own.get(x, 0.0) for x in still)) if still else known for known, still in (memo[x] for x in t)])
     seen = ~np.isnan(w)
     around = np.ones(2 * NEAR + 1)
     total = np.convolve(np.where(seen, w, 0.0), around)[NEAR : NEAR + len(t)]
@@ -192,18 +198,34 @@ def _flagged_share(weights: dict[str, float], text: str | None, memo: dict) -> t
     return len(t), float((total > FLAG * np.maximum(n, 1.0)).mean())
 
 
-def _shares(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
+def _shares(rows: DataFrame, weights: dict[str, float], others: DataFrame | None) -> DataFrame:
     """``_id``, ``n_words`` and ``share`` of each page."""
     sent = rows.sparkSession.sparkContext.broadcast(weights)
+    ident = f"_id {rows.schema['_id'].dataType.simpleString()}"
+
+    def still(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo = _Memo(lambda t: tuple(w for w in parts(t) if w != "#" and w not in sent.value))
+        for df in batches:
+            yield pd.DataFrame({"_id": df["_id"], "words": [list({w for t in set(tokens(text)) for w in memo[t]}) for text in df["_t"]]})
+
+    if others is None:
+        rows = rows.withColumn("_own", F.lit(None).cast("array<struct<word:string,w:double>>"))
+    else:
+        pairs = rows.mapInPandas(still, f"{ident}, words array<string>").select("_id", F.explode("words").alias("word")).join(others, "word")
+        rows = rows.join(pairs.groupBy("_id").agg(F.collect_list(F.struct("word", "w")).alias("_own")), "_id", "left")
+    rows = rows.select("_id", "_t", F.col("_own.word").alias("_words"), F.col("_own.w").alias("_w"))
+
+    def known(token: str) -> tuple[float, tuple[str, ...]]:
+        w = [x for x in parts(token) if x != "#"]
+        return max((sent.value[x] for x in w if x in sent.value), default=-math.inf if w else math.nan), tuple(x for x in w if x not in sent.value)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get = sent.value.get
-        memo = _Memo(lambda t: max((get(w, 0.0) for w in parts(t) if w != "#"), default=math.nan))
+        memo = _Memo(known)
         for df in batches:
-            found = [_flagged_share(sent.value, t, memo) for t in df["_t"]]
+            found = [_flagged_share(t, memo, {} if k is None else dict(zip(k, v))) for t, k, v in zip(df["_t"], df["_words"], df["_w"])]
             yield pd.DataFrame({"_id": df["_id"], "n_words": [n for n, _ in found], "share": [s for _, s in found]})
 
-    return rows.mapInPandas(score, f"_id {rows.schema['_id'].dataType.simpleString()}, n_words int, share double")
+    return rows.mapInPandas(score, f"{ident}, n_words int, share double")
 
 
 def spam_pages(documents: DataFrame, doc_id: str, text: str = "text", *, rounds: int = 2) -> DataFrame:
@@ -212,7 +234,7 @@ def spam_pages(documents: DataFrame, doc_id: str, text: str = "text", *, rounds:
     Pages whose rank-frequency curve is extreme among same-language pages of comparable length are seeds. A word's
     divergence compares its page rate in seeds with that in all other pages; a stretch of a page is such matter if
     its words diverge. In a second round the pages with more than half of such matter are the seeds. The
-    statistics cover all pages; the driver gets only the words that a fixed share of the seeds has.
+    statistics cover all pages and all words of the seeds; the driver gets only words that a fixed share of pages has.
 
     Null texts, and rows with a null id, have no row; blank texts have a share of 0. Without seeds (as in an empty
     or very small table) every share is 0. Of repeated rows with one id the largest share counts. Other columns
@@ -228,5 +250,5 @@ def spam_pages(documents: DataFrame, doc_id: str, text: str = "text", *, rounds:
     for k in range(rounds):
         if k:
             seeds = cut_lineage(shares.where("share > 0.5").select("_id"))
-        shares = _shares(rows, _divergence(rows, everywhere, seeds))
+        shares = _shares(rows, *_divergence(rows, everywhere, seeds))
     return shares.groupBy("_id").agg(F.max("n_words").alias("n_words"), F.max("share").alias("share")).withColumnRenamed("_id", doc_id)

@@ -275,3 +275,14 @@ def test_curves_match_numpy(spark):
     x, y = np.log(np.arange(1, len(f) + 1)), np.log(f)
     slope, cut = np.polyfit(x, y, 1)
     assert r["slope"] == pytest.approx(slope) and r["residual"] == pytest.approx(np.sqrt(np.mean((y - cut - slope * x) ** 2))) and r["n_words"] == len(text.split())
+
+
+def test_rare_keywords_count(spark):
+    rng = random.Random(12)
+    vocabulary = ["the", "of", "and", "to", "in"] + [a + b + c for a in ("ba", "ke", "li", "mo", "nu") for b in ("pa", "re", "si", "tan", "vel") for c in ("dor", "min", "sul", "ter")]
+    docs = [" ".join(rng.choices(vocabulary, [1 / (k + 3) for k in range(len(vocabulary))], k=rng.randint(100, 120))) for _ in range(8000)]
+    docs += [" ".join(rng.choices(["cheap", "tyres", "sofa"], k=110)) for _ in range(1990)]
+    docs += [" ".join(rng.choices([f"quartz{c}", f"lamps{c}"], k=110)) for c in "abc"]  # fewer pages than SEED_SHARE of the seeds, each with keywords of its own
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4)
+    found = {r["doc_id"] for r in spam.spam_pages(df, "doc_id").where("share > 0.5").collect()}
+    assert found == set(range(8000, 9993))
