@@ -116,11 +116,13 @@ def page_curves(documents: DataFrame, doc_id: str, text: str = "text") -> DataFr
 
     ln frequency is fitted to ln rank over the words of a page. The divergence (Kullback-Leibler) holds the page's share of
     words per rank, in classes of a quarter octave, against the mean of pages of the same language and comparable length, half
-    an octave. The z values hold each against the median and spread (interquartile range) of these pages; pages
-    without function words, of ``lang`` none, are held against pages of all languages. ``few`` tells whether a page has fewer
-    different words than the median page.
+    an octave. The z values hold each against the median and spread (median distance from the median, which less than half
+    of the pages cannot carry away) of these pages; pages without function words, of ``lang`` none, are held against pages
+    of all languages. ``few`` tells whether a page has fewer different words than the median page. A text counts once in
+    means, medians and spreads, however many copies it has, and each copy gets its values.
     """
-    rows = documents.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_t")).where("_id is not null and _t is not null")
+    copies = documents.select(F.col(f"`{doc_id}`").alias("_doc"), F.sha2(F.col(f"`{text}`"), 256).alias("_id"), F.col(f"`{text}`").alias("_t")).where("_doc is not null and _t is not null")
+    rows = copies.groupBy("_id").agg(F.first("_t").alias("_t"))
     words = _counts(rows).select("_id", "lang", F.explode("counts").alias("n"))
     ranked = words.withColumn("k", F.row_number().over(Window.partitionBy("_id").orderBy(F.desc("n"))))
     ranked = ranked.withColumn("x", F.ln("k")).withColumn("y", F.ln("n")).withColumn("class", F.floor(4 * F.log2("k")).cast("int"))
@@ -145,9 +147,14 @@ def page_curves(documents: DataFrame, doc_id: str, text: str = "text") -> DataFr
     terms = F.transform(F.map_entries("share"), lambda e: e["value"] * F.ln(e["value"] / F.greatest(F.coalesce(F.try_element_at("usual", e["key"]), F.lit(0.0)), F.lit(1e-6))))
     curves = curves.join(F.broadcast(usual), ["lang", "size"]).withColumn("divergence", F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)).drop("share", "usual")
     measures = ("slope", "residual", "divergence")
-    norms = peers(curves, lambda d, lang: d.groupBy(lang, "size").agg(*[F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"_{m}") for m in measures], F.percentile_approx("n_different", 0.5, 1000).alias("_different")))
-    z = lambda m: ((F.col(m) - F.col(f"_{m}")[1]) / ((F.col(f"_{m}")[2] - F.col(f"_{m}")[0]) / 1.349 + 0.01)).alias(f"{m}_z")
-    return curves.join(F.broadcast(norms), ["lang", "size"]).select("_id", "lang", "n_words", "n_different", *measures, *[z(m) for m in measures], (F.col("n_different") < F.col("_different")).alias("few"))
+    middle = lambda c: F.percentile_approx(c, 0.5, 1000)
+    norms = peers(curves, lambda d, lang: d.groupBy(lang, "size").agg(*[middle(m).alias(f"_{m}") for m in measures], middle("n_different").alias("_different")))
+    off = lambda d, lang: d.withColumn("lang", lang).join(F.broadcast(norms), ["lang", "size"])
+    spreads = peers(curves, lambda d, lang: off(d, lang).groupBy("lang", "size").agg(*[middle(F.abs(F.col(m) - F.col(f"_{m}"))).alias(f"_{m}_off") for m in measures]))
+    z = lambda m: ((F.col(m) - F.col(f"_{m}")) / (1.4826 * F.col(f"_{m}_off") + 0.01)).alias(f"{m}_z")
+    held = curves.join(F.broadcast(norms), ["lang", "size"]).join(F.broadcast(spreads), ["lang", "size"])
+    held = held.select("_id", "lang", "n_words", "n_different", *measures, *[z(m) for m in measures], (F.col("n_different") < F.col("_different")).alias("few"))
+    return copies.select("_doc", "_id").distinct().join(held, "_id").drop("_id").withColumnRenamed("_doc", "_id").select("_id", *[c for c in held.columns if c != "_id"])
 
 
 def _page_words(rows: DataFrame) -> DataFrame:

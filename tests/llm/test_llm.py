@@ -286,3 +286,17 @@ def test_rare_keywords_count(spark):
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4)
     found = {r["doc_id"] for r in spam.spam_pages(df, "doc_id").where("share > 0.5").collect()}
     assert found == set(range(8000, 9993))
+
+
+def test_copies_and_many_extreme_pages_keep_the_norms(spark):
+    rng = random.Random(13)
+    vocabulary = ["the", "of", "and", "to", "in"] + [a + b + c for a in ("ba", "ke", "li", "mo", "nu") for b in ("pa", "re", "si", "tan", "vel") for c in ("dor", "min", "sul", "ter")]
+    page = lambda: " ".join(rng.choices(vocabulary, [1 / (k + 3) for k in range(len(vocabulary))], k=110))
+    prose = [page() for _ in range(200)]
+    keywords = ["the " + " ".join(rng.choices(["cheap", "tyres", "sofa"], k=109)) for _ in range(110)]
+    extreme = lambda docs: {r["_id"] for r in spam.page_curves(spark.createDataFrame(list(enumerate(docs)), "id long, text string"), "id").where(f"slope_z < -{spam.EXTREME} OR residual_z > {spam.EXTREME} OR (divergence_z > {spam.EXTREME} AND few)").collect()}
+    # over a third of the class is of keywords, each page another text; copies of one page
+    assert extreme(prose + keywords) == set(range(200, 310))
+    assert extreme(prose + keywords[:1] * 300) == set(range(200, 500))
+    # copies of one prose page are over three quarters of the class
+    assert extreme(prose + prose[:1] * 900) == set()
