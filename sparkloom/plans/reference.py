@@ -569,6 +569,11 @@ def _(t):
     return graph.lineage(_tree(t), _tree(t).where("node % 97 = 5")).select("node", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"))
 
 
+@query("tree_lineage_whole", _TREE + "a AS (SELECT node, node AS anc, 0 AS k FROM t UNION ALL SELECT a.node, t.parent, a.k + 1 FROM a JOIN t ON t.node = a.anc WHERE t.parent IS NOT NULL AND t.parent <> t.node) SELECT node, string_agg(CAST(anc AS VARCHAR), '/' ORDER BY k DESC) AS path FROM a GROUP BY node")
+def _(t):
+    return graph.lineage(_tree(t), _tree(t)).select("node", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"))
+
+
 @query("tree_descendants", _TREE + "d AS (SELECT node, node AS descendant, 0 AS distance FROM t WHERE node IN (3, 10) UNION ALL SELECT d.node, t.node, d.distance + 1 FROM d JOIN t ON t.parent = d.descendant AND t.node <> t.parent WHERE d.distance < 4) SELECT node, descendant, distance FROM d WHERE distance > 0")
 def _(t):
     return graph.descendants(_tree(t), _tree(t).where("node IN (3, 10)"), max_depth=4)
@@ -584,6 +589,17 @@ def _(t):
     return graph.lowest_common_ancestor(_tree(t), pairs)
 
 
+@query("tree_lca_whole", _TREE + """
+p AS (SELECT c_custkey AS a, (c_custkey * 7) % (SELECT max(c_custkey) + 1 FROM customer) AS b FROM customer),
+u AS (SELECT node, node AS anc, 0 AS k FROM t UNION ALL SELECT u.node, t.parent, u.k + 1 FROM u JOIN t ON t.node = u.anc WHERE t.parent IS NOT NULL AND t.parent <> t.node),
+j AS (SELECT p.a, p.b, x.anc, row_number() OVER (PARTITION BY p.a, p.b ORDER BY x.k + y.k, x.anc) AS k FROM p JOIN u x ON x.node = p.a JOIN u y ON y.node = p.b AND y.anc = x.anc)
+SELECT p.a, p.b, j.anc AS lca FROM p LEFT JOIN j ON j.a = p.a AND j.b = p.b AND j.k = 1""")
+def _(t):
+    keys = t.customer.agg((F.max("c_custkey") + 1).alias("n"))
+    pairs = t.customer.crossJoin(keys).select(F.col("c_custkey").alias("a"), (F.col("c_custkey") * 7 % F.col("n")).alias("b"))
+    return graph.lowest_common_ancestor(_tree(t), pairs)
+
+
 @query("collision_losers")
 def _(t):
     live = t.entries.where("deleted_at IS NULL")

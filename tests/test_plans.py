@@ -24,3 +24,12 @@ def test_collision_losers_keep_every_spectrum(spark, tmp_path):
     got = [(at(x["entry_id"]), at(x["winner"])) for x in reference.QUERIES["collision_losers"](spark, str(tmp_path)).collect()]
     # spectra of one form (C at 3000 and 3001) never collide with each other, a withdrawn one with none
     assert sorted(got) == [(("A", "2000.0"), ("B", "2002.0")), (("A", "2001.0"), ("B", "2002.0")), (("B", "1002.0"), ("A", "1000.0"))]
+
+
+def test_trees_of_all_customers(spark, tmp_path):
+    spark.createDataFrame([(k,) for k in range(300)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    chain = lambda k: [k] + (chain(k // 2) if k else [])
+    run = lambda name: rows(reference.QUERIES[name](spark, str(tmp_path)))
+    assert run("tree_lineage_whole") == [(k, "/".join(map(str, reversed(chain(k))))) for k in range(300)]
+    pairs = [(k, k * 7 % 300) for k in range(300)]
+    assert run("tree_lca_whole") == [(a, b, next(x for x in chain(a) if x in chain(b))) for a, b in pairs]
