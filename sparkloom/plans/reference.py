@@ -843,7 +843,7 @@ def _(t):
 
 @query("peak_fits")
 def _(t):
-    e = t.events.where("user_id < 6").groupBy("user_id", F.hour("ts").cast("double").alias("x")).agg(F.count(F.lit(1)).cast("double").alias("y"))
+    e = t.events.groupBy("user_id", F.hour("ts").cast("double").alias("x")).agg(F.count(F.lit(1)).cast("double").alias("y"))
     return stats.fit_groups(e, "user_id", "x", "y", "gaussian", {"area": (0, 5000), "mu": (0, 24), "sigma": (1, 30)})
 
 

@@ -33,3 +33,18 @@ def test_trees_of_all_customers(spark, tmp_path):
     assert run("tree_lineage_whole") == [(k, "/".join(map(str, reversed(chain(k))))) for k in range(300)]
     pairs = [(k, k * 7 % 300) for k in range(300)]
     assert run("tree_lca_whole") == [(a, b, next(x for x in chain(a) if x in chain(b))) for a, b in pairs]
+
+
+def test_peak_fits_every_user(spark, tmp_path):
+    counts = {k: {h: 1 + round(12 * np.exp(-0.5 * ((h - 8 - k % 6) / 3) ** 2)) for h in range(0, 24, 2)} for k in (1, 6, 250, 1499)}
+    table = [(k, dt.datetime(2026, 1, 1, h)) for k, hours in counts.items() for h, n in hours.items() for _ in range(n)]
+    spark.createDataFrame(table, "user_id long, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    got = {x["user_id"]: x for x in reference.QUERIES["peak_fits"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(counts)
+    mu, sigma = (x.ravel()[:, None] for x in np.meshgrid(np.linspace(0, 24, 97), np.linspace(1, 30, 117)))
+    for k, hours in counts.items():
+        x, y = np.array(list(hours), float), np.array(list(hours.values()), float)
+        shape = np.exp(-0.5 * ((x - mu) / sigma) ** 2) / (sigma * np.sqrt(2 * np.pi))
+        area = np.clip((shape * y).sum(1) / (shape * shape).sum(1), 0, 5000)[:, None]  # the best one for each mu and sigma
+        best = ((area * shape - y) ** 2).sum(1).min()
+        assert got[k]["n"] == len(x) and best * 0.95 <= got[k]["sse"] <= best * (1 + 1e-6)
