@@ -69,22 +69,20 @@ SELECT precursor_index, spectrum_index FROM pairs WHERE k = 1
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three best-scored peptide forms of each protein."""
+    """The three best-scored peptide forms of each protein. A row without PeptideSeq leads to no protein, so its score counts for none."""
     entries = table(spark, sf_dir, "entries").where("deleted_at is null and PeptideModSeq is not null")
     links = table(spark, sf_dir, "peptidetoprotein").where("deleted_at is null and ProteinAccession is not null")
-    scores = entries.groupBy("PeptideModSeq").agg(F.max(real("Score")).alias("Score")).where("Score is not null")
-    forms = entries.select(peptide_key("PeptideSeq").alias("peptide"), "PeptideModSeq").where("peptide is not null").distinct()
+    forms = entries.select(peptide_key("PeptideSeq").alias("peptide"), "PeptideModSeq", real("Score").alias("Score")).where("peptide is not null and Score is not null")
+    forms = forms.groupBy("peptide", "PeptideModSeq").agg(F.max("Score").alias("Score"))
     proteins = links.select(peptide_key("PeptideSeq").alias("peptide"), "ProteinAccession").where("peptide is not null").distinct()
-    scored = forms.join(scores, "PeptideModSeq").join(proteins, "peptide").select("ProteinAccession", "PeptideModSeq", "Score")
+    scored = forms.join(proteins, "peptide").select("ProteinAccession", "PeptideModSeq", "Score")
     return topn.top_n(scored, "ProteinAccession", "Score", "PeptideModSeq", 3).select("ProteinAccession", "PeptideModSeq")
 
 
 P6_SQL = """
-WITH e AS (SELECT * FROM entries WHERE deleted_at IS NULL AND PeptideModSeq IS NOT NULL),
-scores AS (SELECT PeptideModSeq, max(Score) AS score FROM e WHERE Score IS NOT NULL AND NOT isnan(Score) GROUP BY 1),
-forms AS (SELECT DISTINCT upper(trim(PeptideSeq)) AS peptide, PeptideModSeq FROM e WHERE trim(PeptideSeq) <> ''),
+WITH e AS (SELECT upper(trim(PeptideSeq)) AS peptide, PeptideModSeq, max(Score) AS score FROM entries WHERE deleted_at IS NULL AND PeptideModSeq IS NOT NULL AND trim(PeptideSeq) <> '' AND Score IS NOT NULL AND NOT isnan(Score) GROUP BY ALL),
 proteins AS (SELECT DISTINCT upper(trim(PeptideSeq)) AS peptide, ProteinAccession FROM peptidetoprotein WHERE deleted_at IS NULL AND ProteinAccession IS NOT NULL AND trim(PeptideSeq) <> ''),
-pairs AS (SELECT DISTINCT ProteinAccession, PeptideModSeq, score FROM forms JOIN scores USING (PeptideModSeq) JOIN proteins USING (peptide)),
+pairs AS (SELECT ProteinAccession, PeptideModSeq, max(score) AS score FROM e JOIN proteins USING (peptide) GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY ProteinAccession ORDER BY score DESC, PeptideModSeq) AS k FROM pairs)
 SELECT ProteinAccession, PeptideModSeq FROM ranked WHERE k <= 3
 """

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import leaks, nearest_time, packing, quantiles, spam, topn
+from sparkloom.llm import leaks, nearest_time, packing, quantiles, queries, spam, topn
 
 
 # --- percentiles -------------------------------------------------------------------------------------------------
@@ -150,6 +150,14 @@ def test_token_counts(spark):
     assert enc.decode(enc.encode_ordinary(text[5])) == text[5]
 
 
+def test_scores_of_rows_without_peptide_count_for_no_protein(spark, tmp_path):
+    entries = [("AK", "aK ", 1.0, None), ("AK", " ", 9.0, None), ("AK", None, 8.0, None), ("A[+1]K", "AK", 2.0, None), ("CK", "CK", math.nan, None), ("DK", "DK", 5.0, 1)]
+    links = [("AK", "P1", None), (" ak", "P1", None), ("CK", "P1", None), ("DK", "P2", None), (None, "P3", None), ("AK", "P4", 1)]
+    spark.createDataFrame(entries, "PeptideModSeq string, PeptideSeq string, Score double, deleted_at int").write.parquet(f"{tmp_path}/entries.parquet")
+    spark.createDataFrame(links, "PeptideSeq string, ProteinAccession string, deleted_at int").write.parquet(f"{tmp_path}/peptidetoprotein.parquet")
+    assert [tuple(r) for r in queries.p6_found(spark, str(tmp_path)).orderBy("PeptideModSeq").collect()] == [("P1", "AK"), ("P1", "A[+1]K")]
+
+
 # --- leaks -------------------------------------------------------------------------------------------------------
 
 _VOCABULARY = [a + b + c for a in ("ka", "mo", "ri", "tu", "se", "lo") for b in ("ban", "del", "gor", "mis", "vup") for c in ("", "a", "en", "os")]
