@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.columns import names, require
 
-#: Bits from one bin level to the next: a bin of level n is 8**n wide.
-_BITS = 3
+#: Bits from one bin level to the next: a bin of level n is 4**n wide.
+_BITS = 2
 
 
 def overlaps(a_start: str | Column, a_end: str | Column, b_start: str | Column, b_end: str | Column) -> Column:
@@ -22,26 +22,32 @@ def _level(start: str, end: str) -> Column:
     return F.ceil(F.log2(length.cast("double")) / F.lit(_BITS)).cast("int")
 
 
-def _binned(df: DataFrame, start: str, end: str, levels: list[int], level: str, bin_: str, own: str) -> DataFrame:
-    """One or two bins for every level from the interval's own on."""
-    mine = _level(start, end)
-    wanted = F.filter(F.array(*[F.lit(x) for x in levels]), lambda x: x >= mine)
+def _levels(df: DataFrame, start: str, end: str) -> list[int]:
+    """Length classes that occur, at most 32."""
+    seen = df.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), _level(start, end)))).first()[0] or 0
+    return [x for x in range(64 // _BITS) if seen >> x & 1]
+
+
+def _at(df: DataFrame, start: str, end: str, levels: Column) -> DataFrame:
+    """Rows with ``_level`` and ``_bin``: one or two bins for each of the levels, none of them below the interval's own."""
 
     def bins(x: Column) -> Column:
         shift = x * F.lit(_BITS)
         first, last = F.call_function("shiftright", F.col(start), shift), F.call_function("shiftright", F.col(end) - 1, shift)
-        return F.transform(F.sequence(first, F.greatest(first, last)), lambda b: F.struct(x.alias("l"), b.alias("b"), (x == mine).alias("o")))
+        return F.transform(F.sequence(first, F.greatest(first, last)), lambda b: F.struct(x.alias("l"), b.alias("b")))
 
-    e = df.withColumn("_bin", F.explode(F.flatten(F.transform(wanted, bins))))
-    return e.select(*df.columns, F.col("_bin.l").alias(level), F.col("_bin.b").alias(bin_), F.col("_bin.o").alias(own))
+    e = df.withColumn("_bin", F.explode(F.flatten(F.transform(levels, bins))))
+    return e.select(*df.columns, F.col("_bin.l").alias("_level"), F.col("_bin.b").alias("_bin"))
 
 
 def interval_join(left: DataFrame, right: DataFrame, keys: str | list[str], left_start: str, left_end: str, right_start: str, right_end: str) -> DataFrame:
     """All pairs of overlapping intervals with equal keys, once each.
 
-    An interval stands in at most two bins of its own length class and of each longer class that occurs, so rows grow with
-    the number of length classes, not with lengths. A pair meets in the class of the longer of the two, in the bin where the
-    later one starts. Empty and reversed intervals and null keys or bounds overlap nothing. Columns other than keys differ by name.
+    Two joins: left rows in the length class of each longer or equally long right one, then right rows in that of each longer
+    left one. The longer interval of a pair stands in its own class only, in at most two bins, so two short intervals never
+    meet in the bins of a long one, and rows grow with the number of length classes that occur, not with lengths. A
+    pair counts in the bin where the later one starts. Bins with very many rows are split by AQE, which may divide the rows
+    of one bin. Empty and reversed intervals and null keys or bounds overlap nothing. Columns other than keys differ by name.
     """
     keys = names(keys)
     require(left, *keys, left_start, left_end)
@@ -50,16 +56,19 @@ def interval_join(left: DataFrame, right: DataFrame, keys: str | list[str], left
         raise ValueError(f"both sides have columns {sorted(clash)}")
     a = left.where(F.col(left_start) < F.col(left_end))
     b = right.where(F.col(right_start) < F.col(right_end))
-    both = a.select(_level(left_start, left_end).alias("l")).union(b.select(_level(right_start, right_end).alias("l")))
-    levels = sorted(r["l"] for r in both.distinct().collect())  # at most 22 length classes
-    if not levels:
-        levels = [0]
-    a = _binned(a, left_start, left_end, levels, "_level", "_bin", "_own_a")
-    b = _binned(b, right_start, right_end, levels, "_level", "_bin", "_own_b")
-    pairs = a.join(b, [*keys, "_level", "_bin"]).where((F.col("_own_a") | F.col("_own_b")) & overlaps(left_start, left_end, right_start, right_end))
+    of_a, of_b = _levels(a, left_start, left_end), _levels(b, right_start, right_end)
+    listed = lambda levels: F.array(*[F.lit(x) for x in levels]).cast("array<int>")
+    mine_a, mine_b = _level(left_start, left_end), _level(right_start, right_end)
     later = F.greatest(F.col(left_start), F.col(right_start))
-    meets = F.col("_bin") == F.call_function("shiftright", later, (F.col("_level") * _BITS).cast("int"))
-    return pairs.where(meets).drop("_level", "_bin", "_own_a", "_own_b")
+    meets = F.col("_bin") == F.call_function("shiftright", later, F.col("_level") * F.lit(_BITS))
+
+    def pairs(x: DataFrame, y: DataFrame) -> DataFrame:
+        return x.join(y, [*keys, "_level", "_bin"]).where(overlaps(left_start, left_end, right_start, right_end) & meets).drop("_level", "_bin")
+
+    longer = pairs(_at(a, left_start, left_end, F.filter(listed(of_b), lambda x: x >= mine_a)), _at(b, right_start, right_end, F.array(mine_b)))
+    if not of_b or not of_a or of_a[-1] <= of_b[0]:
+        return longer  # no left interval is longer than a right one
+    return longer.unionByName(pairs(_at(a, left_start, left_end, F.array(mine_a)), _at(b, right_start, right_end, F.filter(listed(of_a), lambda x: x > mine_b))))
 
 
 def overlap_length(a_start: str, a_end: str, b_start: str, b_end: str) -> Column:

@@ -115,35 +115,31 @@ def _(t):
 
 # --- interval joins ----------------------------------------------------------------------------------------------
 
-_SPANS = "WITH a AS (SELECT DISTINCT cluster_id, contig_id, strand, span_start, span_end FROM cluster_pileup WHERE span_end > span_start), g AS (SELECT intron_id, contig_id, strand AS g_strand, min(donor_pos) AS g_start, max(acceptor_pos) AS g_end FROM introns GROUP BY ALL HAVING max(acceptor_pos) > min(donor_pos)), "
+_SPANS = "WITH a AS (SELECT DISTINCT read_id, contig_id, strand, span_start, span_end FROM read_fingerprints WHERE span_end > span_start), g AS (SELECT intron_id, contig_id, strand AS g_strand, min(donor_pos) AS g_start, max(acceptor_pos) AS g_end FROM introns GROUP BY ALL HAVING max(acceptor_pos) > min(donor_pos)), "
 
 
 def _spans(t):
-    a = t.cluster_pileup.select("cluster_id", F.pmod("contig_id", F.lit(20)).alias("contig_id"), "strand", "span_start", "span_end").distinct()
-    g = t.introns.groupBy("intron_id", F.pmod("contig_id", F.lit(20)).alias("contig_id"), F.col("strand").alias("g_strand")).agg(F.min("donor_pos").alias("g_start"), F.max("acceptor_pos").alias("g_end"))
+    a = t.read_fingerprints.select("read_id", "contig_id", "strand", "span_start", "span_end").distinct()
+    g = t.introns.groupBy("intron_id", "contig_id", F.col("strand").alias("g_strand")).agg(F.min("donor_pos").alias("g_start"), F.max("acceptor_pos").alias("g_end"))
     return a, g
 
 
-_SPANS = _SPANS.replace("SELECT DISTINCT cluster_id, contig_id,", "SELECT DISTINCT cluster_id, contig_id % 20 AS contig_id,").replace("SELECT intron_id, contig_id, strand AS g_strand", "SELECT intron_id, contig_id % 20 AS contig_id, strand AS g_strand")
-
-
 @query("interval_best_overlap", _SPANS + """
 j AS (SELECT *, least(span_end, g_end) - greatest(span_start, g_start) AS overlap FROM a JOIN g ON a.contig_id = g.contig_id AND (g_strand = '.' OR g_strand = strand) AND g_start < span_end AND g_end > span_start),
-k AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY overlap DESC, g_start, intron_id) AS k FROM j)
-SELECT cluster_id, intron_id, overlap, round(overlap / (span_end - span_start), 4) AS fraction FROM k WHERE k = 1 AND overlap / (span_end - span_start) >= 0.5""")
+k AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY overlap DESC, g_start, intron_id) AS k FROM j)
+SELECT read_id, intron_id, overlap, overlap / (span_end - span_start) AS fraction FROM k WHERE k = 1 AND overlap / (span_end - span_start) >= 0.5""")
 def _(t):
     a, g = _spans(t)
-    b = intervals.best_overlap(a, g, "contig_id", "cluster_id", "span_start", "span_end", "intron_id", "g_start", "g_end", left_strand="strand", right_strand="g_strand")
-    return b.withColumn("fraction", r("fraction"))
+    return intervals.best_overlap(a, g, "contig_id", "read_id", "span_start", "span_end", "intron_id", "g_start", "g_end", left_strand="strand", right_strand="g_strand")
 
 
 @query("interval_fractions", _SPANS + """
 j AS (SELECT *, least(span_end, g_end) - greatest(span_start, g_start) AS overlap FROM a JOIN g ON a.contig_id = g.contig_id AND g_start < span_end AND g_end > span_start)
-SELECT cluster_id, intron_id, g_strand, overlap, round(overlap / (span_end - span_start), 4) AS left_fraction, round(overlap / (g_end - g_start), 4) AS right_fraction FROM j""")
+SELECT read_id, intron_id, g_strand, overlap, overlap / (span_end - span_start) AS left_fraction, overlap / (g_end - g_start) AS right_fraction FROM j""")
 def _(t):
     a, g = _spans(t)
     j = intervals.assign_overlaps(a, g, "contig_id", "span_start", "span_end", "g_start", "g_end")
-    return j.select("cluster_id", "intron_id", "g_strand", "overlap", r("left_fraction").alias("left_fraction"), r("right_fraction").alias("right_fraction"))
+    return j.select("read_id", "intron_id", "g_strand", "overlap", "left_fraction", "right_fraction")
 
 
 @query("interval_span_roles", _SPANS + """
@@ -155,12 +151,12 @@ def _(t):
 
 
 @query("overlaps_per_item", _SPANS + """
-j AS (SELECT a.cluster_id, count(g.intron_id) AS n FROM a LEFT JOIN g ON a.contig_id = g.contig_id AND g_start < span_end AND g_end > span_start GROUP BY a.cluster_id)
+j AS (SELECT a.read_id, count(g.intron_id) AS n FROM a LEFT JOIN g ON a.contig_id = g.contig_id AND g_start < span_end AND g_end > span_start GROUP BY a.read_id)
 SELECT n AS n_partners, count(*) AS n_items FROM j GROUP BY n""")
 def _(t):
     a, g = _spans(t)
     a = a.where("span_end > span_start")
-    return aggregates.overlaps_per_item(intervals.interval_join(a, g, "contig_id", "span_start", "span_end", "g_start", "g_end"), a, "cluster_id")
+    return aggregates.overlaps_per_item(intervals.interval_join(a, g, "contig_id", "span_start", "span_end", "g_start", "g_end"), a, "read_id")
 
 
 @query("isolation_windows", """

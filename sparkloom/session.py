@@ -48,22 +48,49 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return shared or current
 
 
+#: Folders written by this process in the shared folder, by application.
+_written: dict[str, list[str]] = {}
+
+
+def _folder(spark: SparkSession, kind: str) -> str:
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    old = spark._jvm.org.apache.hadoop.fs.Path(path)
+    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and continue from there."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows as a table to the shared folder and continue from there.
+
+    A table that is read again brings its true size, only the columns asked for and no derived constraints along.
+    """
+    spark = df.sparkSession
+    path = _folder(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all tables this process has written for cut lineages; results that still read them can't be used afterwards."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
 
 
 class Rounds:
     """Tables of an iteration, each written to the shared folder; the one before the last is deleted when the next is there.
 
-    Unlike a checkpointed plan, a table that is read again brings its true size and no derived constraints along, which
-    would grow from round to round.
+    ``keep`` leaves all of them until ``release``.
     """
 
     def __init__(self, spark: SparkSession, keep: bool = False) -> None:
         self.spark, self.keep = spark, keep
-        self.base = f"{checkpoint_dir(spark).rstrip('/')}/rounds-{uuid.uuid4().hex}"
+        self.base = _folder(spark, "rounds")
         self.written: list[str] = []
 
     def write(self, df: DataFrame) -> DataFrame:
@@ -72,9 +99,7 @@ class Rounds:
         df.write.parquet(path)
         self.written.append(path)
         if not self.keep and len(self.written) > 2:
-            jvm = self.spark._jvm
-            old = jvm.org.apache.hadoop.fs.Path(self.written[-3])
-            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
+            _delete(self.spark, self.written[-3])
         return self.spark.read.schema(df.schema).parquet(path)
 
 

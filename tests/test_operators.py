@@ -23,6 +23,18 @@ def test_interval_join_equals_brute_force(spark):
     assert intervals.interval_join(x.limit(0), y, "k", "s", "e", "t", "f").count() == 0
 
 
+def test_short_intervals_do_not_meet_in_bins_of_a_long_one(spark, monkeypatch):
+    rng = random.Random(4)
+    make = lambda n: [("a", i, s, s + rng.randint(20, 60)) for i, s in enumerate(rng.randint(0, 200_000) for _ in range(n))]
+    a, b, long = make(800), make(800), [("a", 9000, 0, 250_000)]
+    count = lambda a, b: intervals.interval_join(spark.createDataFrame(a, "k string, i int, s long, e long"), spark.createDataFrame(b, "k string, j int, t long, f long"), "k", "s", "e", "t", "f").count()
+    true = count(a, b)
+    assert count(a + long, b) == true + 800 and count(a, b + long) == true + 800
+    monkeypatch.setattr(intervals, "overlaps", lambda *_: F.lit(True))  # all pairs that meet in a bin
+    tested = count(a, b)
+    assert tested <= 20 * true and max(count(a + long, b), count(a, b + long)) == tested + 800
+
+
 def test_best_overlap(spark):
     a = spark.createDataFrame([(1, 1, 100, 200, "+")], "c int, i int, s long, e long, st string")
     g = spark.createDataFrame([(1, 100, 50, 250, "+"), (1, 200, 180, 300, "+")], "c int, g int, t long, f long, gs string")

@@ -3,11 +3,12 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.operators.orphans import Child, Parent, orphan_references, orphan_report
-from sparkloom.operators.periods import dyadic_blocks, periods_and_gaps
+from sparkloom.operators.periods import BAND, mark_blocks, periods_and_gaps, reduce_trees
 from sparkloom.operators.skew import approx_distinct, count_rows, greatest, heavy_keys, least, mean, salted_aggregate, salted_join, total
 
 
@@ -50,14 +51,32 @@ def test_periods_of_nothing(spark):
         periods_and_gaps(empty, "no", "a", "b")
 
 
-def test_blocks_are_canonical(spark):
+def test_blocks_are_canonical():
     rng = random.Random(3)
-    rows = [(a, a + rng.randint(1, 300)) for a in (rng.randint(-500, 500) for _ in range(60))] + [(0, 1), (-1, 1), (7, 8)]
-    for r in spark.createDataFrame(rows, "a long, b long").withColumn("x", dyadic_blocks(F.col("a"), F.col("b"))).collect():
-        cells = sorted(c for b in r["x"] for c in range(b["idx"] << b["level"], (b["idx"] + 1) << b["level"]))
-        assert cells == list(range(r["a"], r["b"]))
-        taken = {(b["level"], b["idx"]) for b in r["x"]}
-        assert not any((lv, i ^ 1) in taken for lv, i in taken)  # no two halves of one block
+    cells = 1 << BAND
+    spans = [(a, min(cells, a + rng.randint(1, 900))) for a in (rng.randint(0, cells - 1) for _ in range(60))] + [(0, 1), (0, cells), (cells - 1, cells), (cells // 2 - 1, cells // 2 + 1)]
+    full = np.zeros((len(spans), 2 * cells), bool)
+    a, b = np.array(spans).T
+    mark_blocks(np.arange(len(spans)), a, b, full)
+    for row, (s, e) in zip(full, spans):
+        taken = {(BAND - (int(n).bit_length() - 1), int(n) - (1 << (int(n).bit_length() - 1))) for n in np.flatnonzero(row)}
+        assert sorted(c for level, i in taken for c in range(i << level, (i + 1) << level)) == list(range(s, e))
+        assert not any((level, i ^ 1) in taken for level, i in taken)  # no two halves of one block
+    r, s, e = reduce_trees(full)
+    assert list(zip(s.tolist(), e.tolist())) == spans and r.tolist() == list(range(len(spans)))
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 16])
+def test_a_key_over_many_partitions(spark, partitions):
+    rng = random.Random(partitions)
+    rows = [("hot", a, a + rng.choice([1, 30, 30, 9000])) for a in (rng.randint(0, 400_000) for _ in range(900))] + [(f"k{i % 40}", i, i + 2) for i in range(120)] + [("long", 0, 400_000)] + [("long", a, a + 5) for a in range(0, 500_000, 1000)]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        got = sorted((tuple(r) for r in periods_and_gaps(spark.createDataFrame(rows, "k string, a long, b long").repartition(3), "k", "a", "b").collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert got == brute_periods(rows)
 
 
 def test_orphans(spark):
