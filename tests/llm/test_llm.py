@@ -175,11 +175,12 @@ def test_scan_finds_all_patterns():
     text = [rng.choice([*small, "other", "words"]) for _ in range(3000)]
     codes = np.array([index["vocabulary"].get(w, 0) for w in text])
     at, pattern = leaks.scan(index, leaks.block_numbers(index, codes))
-    grams = {tuple(t.split()[p : p + 4]) for _, t in items for p in range(len(t.split()) - 3)}
-    assert sorted(at.tolist()) == [p for p in range(len(text) - 3) if tuple(text[p : p + 4]) in grams]
+    m = leaks.PATTERN
+    grams = {tuple(t.split()[p : p + m]) for _, t in items for p in range(len(t.split()) - m + 1)}
+    assert sorted(at.tolist()) == [p for p in range(len(text) - m + 1) if tuple(text[p : p + m]) in grams]
     for p, k in zip(at.tolist(), pattern.tolist()):
         i, q = index["item"][index["first"][k]], index["at"][index["first"][k]]
-        assert items[i][1].split()[q : q + 4] == text[p : p + 4]
+        assert items[i][1].split()[q : q + m] == text[p : p + m]
     empty = leaks.build_index([])
     assert len(leaks.scan(empty, leaks.block_numbers(empty, codes))[0]) == 0 and leaks.search(index, ["", None, "x"]) == []
 
@@ -227,6 +228,56 @@ def test_leaked_passages(spark):
     assert leaks.leaked_passages(d, e.limit(0), "doc_id", "item_id").count() == 0
 
 
+def _put_in(words, spec, fresh):
+    """Words with ``spec[i]`` new ones after place i."""
+    return [y for i, w in enumerate(words) for y in [w, *(next(fresh) for _ in range(spec.get(i, 0)))]]
+
+
+def _altered(words, places, fresh):
+    return [next(fresh) if i in places else w for i, w in enumerate(words)]
+
+
+def test_insertions_and_altered_words_together():
+    fresh = (f"new{i}" for i in range(10**6))
+    item = [f"word{i}" for i in range(80)]
+    index = leaks.build_index([(1, " ".join(item)), (2, " ".join(f"else{i}" for i in range(60)))])
+    p = item[10:34]
+    three = _altered(p, {5, 11, 17}, fresh)
+    cases = {
+        "plain": (p, 24), "three altered": (three, 24), "one insertion": (_put_in(three, {8: 5}, fresh), 24), "two insertions": (_put_in(three, {8: 5, 14: 5}, fresh), 24),
+        "three insertions": (_put_in(three, {2: 2, 8: 2, 14: 2}, fresh), 24), **{f"{n} words put in": (_put_in(p, {11: n}, fresh), 24) for n in (18, 19, 24, 30)},
+        "46 words": (_put_in(item[10:56], {22: 19}, fresh), 46), "60 words": (_put_in(item[10:70], {22: 40}, fresh), 60), "one word after every three": (_put_in(p, {i: 1 for i in range(2, 23, 3)}, fresh), 24),
+        "angles": (["<", *p[:12], ">", *p[12:]], 24), "altered words close by": (_altered(p, {5, 7, 17}, fresh), 24), "a single word at the end": (_altered(p, {1}, fresh), 24),
+        "a page of 1,000 words put in": (_put_in(item[10:50], {19: 1000}, fresh), 40), "a bad chain before": (_altered(item[:50], set(range(2, 50, 4)), fresh) + [next(fresh) for _ in range(30)] + item[50:75], 25),
+    }
+    for name, (words, least) in cases.items():
+        found = leaks.search(index, [" ".join([next(fresh) for _ in range(50)] + words + [next(fresh) for _ in range(60)])])
+        assert [f[:2] for f in found] == [(0, 1)] and found[0][2] >= least, name
+    for words in (item[10:33], _altered(p, {4, 9, 14, 19}, fresh), p[::-1], _put_in(p, {i: 1 for i in range(24)}, fresh)):
+        assert leaks.search(index, [" ".join(words)]) == []
+
+
+def test_recall_with_words_put_in():
+    rng = random.Random(21)
+    fresh = (f"new{i}" for i in range(10**7))
+    items = [[f"w{k}x{i}" for i in range(90)] for k in range(20)]
+    index = leaks.build_index([(k, " ".join(w)) for k, w in enumerate(items)])
+    texts, truth = [], []
+    for _ in range(600):
+        k, n = rng.randrange(20), rng.randint(40, 60)
+        a = rng.randint(0, 90 - n)
+        # at most 100 words at each of two places, 14 words or more from each other and from the ends
+        x, y = 13 + rng.randint(0, n - 40) // 2, 27 + rng.randint(0, n - 40) // 2
+        spec = {x: rng.randint(1, 100), max(y, x + 14): rng.randint(0, 100)}
+        words = _put_in(items[k][a : a + n], spec, fresh)
+        for i in rng.sample(range(0, len(words)), 2):
+            words[i] = next(fresh)
+        texts.append(" ".join([next(fresh) for _ in range(rng.randint(0, 80))] + words))
+        truth.append(k)
+    found = {(d, i) for d, i, *_ in leaks.search(index, texts)}
+    assert found <= set(enumerate(truth)) and len(found) >= 0.98 * len(texts)
+
+
 def test_many_items_take_several_passes(spark, monkeypatch):
     rng = random.Random(10)
     items = [(i, passage(rng, 60)) for i in range(10)]
