@@ -18,9 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def texts(spark: SparkSession, sf_dir: str, *others: str) -> DataFrame:
     """Ids and texts of the documents. A scan of fewer partitions than there are cores, as of one small file, is spread over all."""
-    scan = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scan = table(spark, sf_dir, "documents").select("doc_id", "text", *others)
     cores = spark.sparkContext.defaultParallelism
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
@@ -108,12 +108,12 @@ def p8_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with more than half of their words in keyword matter."""
-    return spam.spam_pages(texts(spark, sf_dir), "doc_id").where("share > 0.5").select("doc_id")
+    return spam.spam_pages(texts(spark, sf_dir, "lang"), "doc_id", lang="lang").where("share > 0.5").select("doc_id")
 
 
 def p9_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank-frequency curve of each page against its peers."""
-    return spam.page_curves(texts(spark, sf_dir), "doc_id").withColumnRenamed("_id", "doc_id")
+    return spam.page_curves(texts(spark, sf_dir, "lang"), "doc_id", lang="lang").withColumnRenamed("_id", "doc_id")
 
 
 QUERIES = {"p1_found": p1_found, "p1_daily_sketches": p1_daily_sketches, "p1_percentiles": p1_percentiles, "p3_found": p3_found, "p6_found": p6_found, "p7_containers": p7_containers, "p8_found": p8_found, "p8_leaked_items": p8_leaked_items, "p9_found": p9_found, "p9_curves": p9_curves}

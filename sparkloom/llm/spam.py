@@ -8,9 +8,8 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.columns import require
@@ -18,33 +17,27 @@ from sparkloom.session import cut_lineage
 
 #: Pages with fewer words have no curve of their own.
 LEAST_WORDS = 16
-#: A page is a seed if its slope is so many spreads steeper, or its residual or divergence so many spreads larger, than that of
+#: A page is extreme if its slope is so many spreads steeper, or its residual or divergence so many spreads larger, than that of
 #: same-language pages of comparable length; a diverging page only if it has fewer different words than these.
 EXTREME = 6.0
-#: Words that at least this share of the seeds, or of all pages, has are sent to every task; all others are joined to the pages
-#: that have them. As a page has some hundred different words, there are at most some hundred / SEED_SHARE of the former each,
-#: however large the corpus. No result depends on it.
-SEED_SHARE = 0.002
-#: A word's divergence is the log of its page rate in seeds over that in prose, between these limits.
-WORD_LIMITS = (-2.0, 3.0)
+#: A page is flagged if its slope, residual, divergence or share of plain words is so many spreads off, on either side.
+FLAGGED = 2.5
+#: Pages of comparable length are of one half octave; very short and very long ones, of which there are fewer, are held
+#: against those of the nearest half octave that has PEERS pages of the language.
+PEERS = 30
+#: Plain words of a language are those that at least this share of its pages has, so there are at most as many as an average page
+#: has different words, divided by it. A language is a label that at least LABELLED of all labelled pages bear.
+PLAIN, LABELLED = 0.25, 0.002
+#: A word's divergence is the log of its page rate in extreme pages over that in same-language prose, between these limits. The
+#: rate in extreme pages of the language is drawn to that in all languages as by so many pages more.
+WORD_LIMITS, DRAWN = (-2.0, 3.0), 20.0
 #: A word belongs to such matter if the mean divergence of the words around it, NEAR on either side, exceeds FLAG.
 NEAR, FLAG = 4, 0.7
 
-#: Frequent function words, to tell the language of a page.
-FUNCTION_WORDS = {
-    "de": "das dem den der des die ein eine fur ich im in ist mit nicht und von zu",
-    "en": "a and by for has in is it of on that the to was we will with",
-    "es": "con de del el en es la las lo los no para por que se un una y",
-    "fr": "a au dans de des du en est et la le les n par pour que un une",
-}
-_LANGUAGE = {lang: frozenset(w.split()) for lang, w in FUNCTION_WORDS.items()}
 _MARKS = re.compile(r"[̀-ͯ]")
 _WORD = re.compile(r"[^\W_]+")
 _SPACED = re.compile(r"(?<!\S)\w(?: \w){3,}(?!\w)")
-_CODE = re.compile(r"[a-z]{0,2}[0-9]+[a-z]{0,2}")
 _DIGITS = re.compile(r"[0-9]+")
-#: Digits that stand for letters in disguised words.
-_DISGUISE = str.maketrans("013457", "oleast")
 
 
 def _joined(letters: str) -> str:
@@ -69,12 +62,8 @@ def tokens(text: str | None) -> list[str]:
 
 
 def parts(token: str) -> tuple[str, ...]:
-    """Compared words within a token: numbers become #, digits within words the letters they stand for, a tag keeps its <."""
-    out = []
-    for w in _WORD.findall(token):
-        if not w.isalpha() and _DIGITS.search(w):
-            w = _DIGITS.sub("#", w) if _CODE.fullmatch(w) else w.translate(_DISGUISE)
-        out.append(w)
+    """Compared words within a token: digits become #, a tag keeps its <."""
+    out = [_DIGITS.sub("#", w) for w in _WORD.findall(token)]
     if out and token[0] == "<":
         out[0] = "<" + out[0]
     return tuple(out)
@@ -94,48 +83,108 @@ class _Memo(dict):
         return value
 
 
-def _counts(rows: DataFrame) -> DataFrame:
-    """Language and word counts of each page, numbers left out: ``_id``, ``lang``, ``counts``."""
+def _pages(documents: DataFrame, doc_id: str, text: str, lang: str | None) -> DataFrame:
+    """Word counts of each page, numbers left out: ``_row``, ``_doc``, ``_h``, ``label``, ``n_tokens``, ``words``, ``counts``. One read of the texts.
+
+    ``_h`` is equal for equal texts.
+    """
+    label = F.lower(F.trim(F.col(f"`{lang}`").cast("string"))) if lang else F.lit(None).cast("string")
+    rows = documents.select(F.col(f"`{doc_id}`").alias("_doc"), F.unhex(F.sha2(F.col(f"`{text}`"), 256)).alias("_h"), label.alias("label"), F.col(f"`{text}`").alias("_t")).where("_doc is not null and _t is not null")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = _Memo(parts)
+        memo = _Memo(lambda t: tuple(w for w in parts(t) if w != "#"))
         for df in batches:
-            langs, counts = [], []
+            n, words, counts = [], [], []
             for text in df["_t"]:
-                c = Counter(w for t in tokens(text) for w in memo[t] if w != "#")
-                votes = {lang: sum(c[w] for w in own) for lang, own in _LANGUAGE.items()}
-                langs.append(max(votes, key=votes.get) if any(votes.values()) else "none")
+                t = tokens(text)
+                c: Counter = Counter()
+                for x in t:
+                    c.update(memo[x])
+                n.append(len(t))
+                words.append(list(c))
                 counts.append(list(c.values()))
-            yield pd.DataFrame({"_id": df["_id"], "lang": langs, "counts": counts})
+            yield pd.DataFrame({"_doc": df["_doc"], "_h": df["_h"], "label": df["label"], "n_tokens": n, "words": words, "counts": counts})
 
-    return rows.mapInPandas(count, f"_id {rows.schema['_id'].dataType.simpleString()}, lang string, counts array<int>")
+    kind = rows.schema["_doc"].dataType.simpleString()
+    counted = rows.mapInPandas(count, f"_doc {kind}, _h binary, label string, n_tokens int, words array<string>, counts array<int>")
+    return cut_lineage(counted.withColumn("_row", F.monotonically_increasing_id()))
 
 
-def page_curves(documents: DataFrame, doc_id: str, text: str = "text") -> DataFrame:
-    """Rank-frequency curve of each page: ``_id``, ``lang``, ``n_words``, ``n_different``, ``slope``, ``residual``, ``divergence`` and their z values.
+def _once(pages: DataFrame) -> DataFrame:
+    """One page of each text: of copies only the first stays. Only keys are shuffled where copies are few."""
+    keys = pages.select("_row", "_h")
+    first = keys.groupBy("_h").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return pages.join(keys.join(first, "_h").where("_row <> _first").select("_row"), "_row", "left_anti")
 
-    ln frequency is fitted to ln rank over the words of a page. The divergence (Kullback-Leibler) holds the page's share of
-    words per rank, in classes of a quarter octave, against the mean of pages of the same language and comparable length, half
-    an octave. The z values hold each against the median and spread (median distance from the median, which less than half
-    of the pages cannot carry away) of these pages; pages without function words, of ``lang`` none, are held against pages
-    of all languages. ``few`` tells whether a page has fewer different words than the median page. A text counts once in
-    means, medians and spreads, however many copies it has, and each copy gets its values.
+
+def _languages(once: DataFrame) -> DataFrame:
+    """Language of each page and share of its words that are plain ones of it: ``_row``, ``lang``, ``plain``.
+
+    A language's plain words come from the pages that bear its label. A page's own label may be wrong: it gets the language
+    whose plain words it has, each counting by how much more frequent it is there than elsewhere. Without any, or without
+    labels, it is ``none``; its share then is that of words that are plain in any language.
     """
-    copies = documents.select(F.col(f"`{doc_id}`").alias("_doc"), F.sha2(F.col(f"`{text}`"), 256).alias("_id"), F.col(f"`{text}`").alias("_t")).where("_doc is not null and _t is not null")
-    rows = copies.groupBy("_id").agg(F.first("_t").alias("_t"))
-    words = _counts(rows).select("_id", "lang", F.explode("counts").alias("n"))
-    ranked = words.withColumn("k", F.row_number().over(Window.partitionBy("_id").orderBy(F.desc("n"))))
+    labels = once.where("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("all", F.sum("n").over(Window.partitionBy())).where(F.col("n") >= F.col("all") * LABELLED)
+    labels = {r["label"]: r["n"] for r in labels.collect()}  # at most 1 / LABELLED
+    spoken = once.where(F.col("label").isin(list(labels))) if labels else once.withColumn("label", F.lit("none"))
+    totals = labels or {"none": once.count()}
+    rate = F.col("n") / F.element_at(F.create_map(*[x for k, v in totals.items() for x in (F.lit(k), F.lit(float(max(v, 1))))]), F.col("label"))
+    # every plain word of one label with its rate in the others, from 0.01 on
+    rates = spoken.select("label", F.explode("words").alias("word")).groupBy("label", "word").agg(F.count(F.lit(1)).alias("n")).select("word", F.struct("label", rate.alias("r")).alias("x"))
+    listed = rates.groupBy("word").agg(F.collect_list("x").alias("x")).where(F.exists("x", lambda x: x["r"] >= PLAIN)).collect()
+    plain: dict[str, dict[str, float]] = {}
+    for r in listed:
+        by = {x["label"]: x["r"] for x in r["x"]}
+        mean = sum(by.values()) / len(totals)
+        plain[r["word"]] = {k: math.log((by.get(k, 0.0) + 0.01) / (mean + 0.01)) for k in totals} | {f"={k}": 1.0 for k, v in by.items() if v >= PLAIN}
+    sent = once.sparkSession.sparkContext.broadcast((sorted(labels), plain))
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, known = sent.value
+        for df in batches:
+            langs, shares = [], []
+            for words, counts in zip(df["words"], df["counts"]):
+                have = [(known[w], n) for w, n in zip(words, counts) if w in known]
+                votes = {k: sum(v[k] for v, _ in have) for k in names}
+                best = max(votes, key=votes.get) if have and names else "none"
+                if best != "none" and votes[best] <= 0:
+                    best = "none"
+                mine = f"={best}"
+                langs.append(best)
+                shares.append(sum(n for v, n in have if best == "none" or mine in v) / max(int(sum(counts)), 1))
+            yield pd.DataFrame({"_row": df["_row"], "lang": langs, "plain": shares})
+
+    return once.select("_row", "words", "counts").mapInPandas(judge, "_row long, lang string, plain double")
+
+
+def _curves(once: DataFrame) -> DataFrame:
+    """Curves of different pages with their z values: ``_row``, ``lang``, ``n_words`` and what ``page_curves`` tells."""
+    langs = cut_lineage(_languages(once))
+    words = once.select("_row", F.explode("counts").alias("n"))
+    ranked = words.withColumn("k", F.row_number().over(Window.partitionBy("_row").orderBy(F.desc("n"))))
     ranked = ranked.withColumn("x", F.ln("k")).withColumn("y", F.ln("n")).withColumn("class", F.floor(4 * F.log2("k")).cast("int"))
-    sums = ranked.groupBy("_id", "class").agg(F.min("lang").alias("lang"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("y") * F.col("y")).alias("yy"))
+    sums = ranked.groupBy("_row", "class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("y") * F.col("y")).alias("yy"))
     # at most 4 classes for each octave of ranks
-    page = sums.groupBy("_id").agg(F.min("lang").alias("lang"), *[F.sum(c).alias(c) for c in ("n", "v", "x", "y", "xx", "xy", "yy")], F.map_from_entries(F.collect_list(F.struct("class", F.col("n").alias("m")))).alias("mass")).where(F.col("n") >= LEAST_WORDS)
+    page = sums.groupBy("_row").agg(*[F.sum(c).alias(c) for c in ("n", "v", "x", "y", "xx", "xy", "yy")], F.map_from_entries(F.collect_list(F.struct("class", F.col("n").alias("m")))).alias("mass")).where(F.col("n") >= LEAST_WORDS)
     var = lambda a, b, ab: F.col(ab) / F.col("v") - F.col(a) * F.col(b) / F.col("v") / F.col("v")
     vx, vy, c = F.greatest(var("x", "x", "xx"), F.lit(0.0)), var("y", "y", "yy"), var("x", "y", "xy")
     # a page of one word has no slope: as steep as it gets
     slope = F.when(vx > 0, c / vx).otherwise(F.lit(-10.0))
     residual = F.when(vx > 0, F.sqrt(F.greatest(F.lit(0.0), vy - c * c / vx))).otherwise(F.lit(0.0))
     share = F.transform_values("mass", lambda _, m: m / F.col("n"))
-    curves = cut_lineage(page.select("_id", "lang", F.col("n").alias("n_words"), F.col("v").alias("n_different"), slope.alias("slope"), residual.alias("residual"), share.alias("share"), F.floor(2 * F.log2("n")).alias("size")))
+    curves = page.select("_row", F.col("n").alias("n_words"), F.col("v").alias("n_different"), slope.alias("slope"), residual.alias("residual"), share.alias("share"), F.floor(2 * F.log2("n")).alias("size"))
+    curves = cut_lineage(curves.join(langs, "_row"))
+    ends: dict[str, list[int]] = {}  # half octaves with enough pages; there are a few for each language
+    for r in curves.groupBy("lang", "size").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= PEERS).collect():
+        ends.setdefault(r["lang"], []).append(r["size"])
+    size = F.col("size")
+    clamped = F.lit(0).cast("long")  # where no half octave has enough, all lengths together
+    for lang, sizes in ends.items():
+        clamped = F.when(F.col("lang") == lang, F.greatest(F.lit(min(sizes)), F.least(F.lit(max(sizes)), size))).otherwise(clamped)
+    every = [x for lang, sizes in ends.items() for x in sizes]
+    if every:
+        clamped = F.when(F.col("lang") == "none", F.greatest(F.lit(min(every)), F.least(F.lit(max(every)), size))).otherwise(clamped)
+    curves = curves.withColumn("size", clamped.cast("long"))
 
     def peers(every: DataFrame, make) -> DataFrame:
         """One row for each language and half octave, and for pages of no language one over all."""
@@ -145,117 +194,102 @@ def page_curves(documents: DataFrame, doc_id: str, text: str = "text") -> DataFr
     mean = peers(curves, lambda d, lang: d.select(lang, "size", F.explode("share").alias("class", "p")).groupBy("lang", "size", "class").agg(F.sum("p").alias("p")))
     usual = mean.join(F.broadcast(pages), ["lang", "size"]).groupBy("lang", "size").agg(F.map_from_entries(F.collect_list(F.struct("class", F.col("p") / F.col("pages")))).alias("usual"))
     terms = F.transform(F.map_entries("share"), lambda e: e["value"] * F.ln(e["value"] / F.greatest(F.coalesce(F.try_element_at("usual", e["key"]), F.lit(0.0)), F.lit(1e-6))))
-    curves = curves.join(F.broadcast(usual), ["lang", "size"]).withColumn("divergence", F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)).drop("share", "usual")
-    measures = ("slope", "residual", "divergence")
+    curves = cut_lineage(curves.join(F.broadcast(usual), ["lang", "size"]).withColumn("divergence", F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)).drop("share", "usual"))
     middle = lambda c: F.percentile_approx(c, 0.5, 1000)
-    norms = peers(curves, lambda d, lang: d.groupBy(lang, "size").agg(*[middle(m).alias(f"_{m}") for m in measures], middle("n_different").alias("_different")))
-    off = lambda d, lang: d.withColumn("lang", lang).join(F.broadcast(norms), ["lang", "size"])
-    spreads = peers(curves, lambda d, lang: off(d, lang).groupBy("lang", "size").agg(*[middle(F.abs(F.col(m) - F.col(f"_{m}"))).alias(f"_{m}_off") for m in measures]))
-    z = lambda m: ((F.col(m) - F.col(f"_{m}")) / (1.4826 * F.col(f"_{m}_off") + 0.01)).alias(f"{m}_z")
-    held = curves.join(F.broadcast(norms), ["lang", "size"]).join(F.broadcast(spreads), ["lang", "size"])
-    held = held.select("_id", "lang", "n_words", "n_different", *measures, *[z(m) for m in measures], (F.col("n_different") < F.col("_different")).alias("few"))
-    return copies.select("_doc", "_id").distinct().join(held, "_id").drop("_id").withColumnRenamed("_doc", "_id").select("_id", *[c for c in held.columns if c != "_id"])
 
+    def against(every: DataFrame, measures: tuple[str, ...], keys: list[str]) -> DataFrame:
+        """z values of measures among the pages with equal keys, ``lang`` and others."""
+        norms = cut_lineage(peers(every, lambda d, lang: d.groupBy(lang, *keys[1:]).agg(*[middle(m).alias(f"_{m}") for m in measures], middle("n_different").alias("_different"))))
+        off = lambda d, lang: d.withColumn("lang", lang).join(F.broadcast(norms), keys)
+        spreads = peers(every, lambda d, lang: off(d, lang).groupBy(*keys).agg(*[middle(F.abs(F.col(m) - F.col(f"_{m}"))).alias(f"_{m}_off") for m in measures]))
+        z = lambda m: ((F.col(m) - F.col(f"_{m}")) / (1.4826 * F.col(f"_{m}_off") + 0.01)).alias(f"{m}_z")
+        return every.join(F.broadcast(norms), keys).join(F.broadcast(spreads), keys).select(*every.columns, *[z(m) for m in measures], (F.col("n_different") < F.col("_different")).alias("few"))
 
-def _page_words(rows: DataFrame) -> DataFrame:
-    """Pages that have each word, summed within batches first: ``word``, ``pages``."""
+    measures = ("slope", "residual", "divergence")
+    # the share of plain words doesn't depend on a page's length
+    held = against(against(curves, ("plain",), ["lang"]).drop("few"), measures, ["lang", "size"])
+    return held.select("_row", "lang", "n_words", "n_different", *measures, "plain", *[f"{m}_z" for m in (*measures, "plain")], "few")
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = _Memo(parts)
-        for df in batches:
-            c: Counter = Counter()
-            for text in df["_t"]:
-                c.update({w for t in set(tokens(text)) for w in memo[t]})
-            yield pd.DataFrame({"word": list(c.keys()), "pages": list(c.values())})
 
-    return rows.select("_t").mapInPandas(count, "word string, pages long").groupBy("word").agg(F.sum("pages").alias("pages"))
+def page_curves(documents: DataFrame, doc_id: str, text: str = "text", lang: str | None = None) -> DataFrame:
+    """Rank-frequency curve of each page: ``_id``, ``lang``, ``n_words``, ``n_different``, ``slope``, ``residual``, ``divergence``, ``plain`` and their z values.
+
+    ln frequency is fitted to ln rank over the words of a page. The divergence (Kullback-Leibler) holds the page's share of
+    words per rank, in classes of a quarter octave, against the mean of pages of the same language and comparable length, half
+    an octave; ``plain`` is the share of words that a quarter of same-language pages has, held against pages of all lengths. The z values hold each against the
+    median and spread (median distance from the median, which less than half of the pages cannot carry away) of these pages.
+    Languages are learnt from the labels in the column ``lang``, which may be wrong in places; pages without plain words,
+    or without such a column, are of ``lang`` none and held against pages of all languages. ``few`` tells whether a page has fewer
+    different words than the median page. A text counts once in means, medians and spreads, however many copies it has, and
+    each copy gets its values.
+    """
+    pages = _pages(documents, doc_id, text, lang)
+    once = _once(pages)
+    held = _curves(once).join(once.select("_row", "_h"), "_row").drop("_row")
+    return pages.select("_doc", "_h").distinct().join(held, "_h").drop("_h").withColumnRenamed("_doc", "_id").select("_id", *[c for c in held.columns if c != "_h"])
 
 
-def _divergence(rows: DataFrame, everywhere: DataFrame, seeds: DataFrame) -> tuple[dict[str, float], DataFrame | None]:
-    """Divergence of each word of the seeds: of frequent words by word, of all others as a table ``word``, ``w``.
+def _divergences(once: DataFrame, judged: DataFrame) -> DataFrame:
+    """Divergence of each word that extreme pages have, in each language: ``lang``, ``word``, ``w``.
 
-    Frequent words that no seed has are among the former with 0. Without seeds there are none.
+    ``judged``: ``_row``, ``lang`` and whether the page is ``extreme``. Languages are a short list (1 / LABELLED, and none).
     """
-    n_all = rows.count()
-    marked = rows.join(seeds.select("_id").distinct(), "_id", "left_semi")
-    n_seeds = marked.count()
-    if not n_seeds:
-        return {}, None
-    own = _page_words(marked).withColumnRenamed("pages", "in_seeds")
-    both = everywhere.where(F.col("word") != "#").join(own, "word", "left").na.fill(0, subset=["in_seeds"]).withColumn("in_prose", F.greatest(F.col("pages") - F.col("in_seeds"), F.lit(0)))
+    words = once.select("_row", F.explode("words").alias("word")).join(judged, "_row").groupBy("lang", "word").agg(F.sum("seed").alias("seeds"), F.sum(1 - F.col("seed")).alias("prose"))
+    words = cut_lineage(words)
+    size = judged.groupBy("lang").agg(F.sum("seed").alias("n_seeds"), F.sum(1 - F.col("seed")).alias("n_prose"))
+    all_size = size.agg(F.sum("n_seeds").alias("all_seeds"), F.sum("n_prose").alias("all_prose"))
+    known = words.groupBy("word").agg(F.sum("seeds").alias("seeds_of_all"), F.sum("prose").alias("prose_of_all")).where("seeds_of_all > 0")
+    # pages of no language are held against all
+    sizes = size.crossJoin(F.broadcast(all_size)).withColumn("n_prose", F.when(F.col("lang") == "none", F.col("all_prose")).otherwise(F.col("n_prose")))
+    each = known.crossJoin(F.broadcast(sizes)).join(words, ["lang", "word"], "left").na.fill(0, subset=["seeds", "prose"])
+    prose = F.when(F.col("lang") == "none", F.col("prose_of_all")).otherwise(F.col("prose"))
+    pooled = (F.col("seeds_of_all") + 0.5) / (F.col("all_seeds") + 1)
+    rate = (F.col("seeds") + DRAWN * pooled) / (F.col("n_seeds") + DRAWN)
     low, high = WORD_LIMITS
-    rate = lambda c, n: F.ln((F.col(c) + 0.5) / F.lit(n + 1.0))
-    weight = F.greatest(F.lit(low), F.least(F.lit(high), rate("in_seeds", n_seeds) - rate("in_prose", max(n_all - n_seeds, 0))))
-    frequent = (F.col("in_seeds") >= max(2.0, SEED_SHARE * n_seeds)) | (F.col("pages") >= max(2.0, SEED_SHARE * n_all))
-    words = cut_lineage(both.where(frequent | (F.col("in_seeds") > 0)).select("word", F.when(F.col("in_seeds") > 0, weight).otherwise(F.lit(0.0)).alias("w"), frequent.alias("frequent")))
-    return {r["word"]: r["w"] for r in words.where("frequent").collect()}, words.where("NOT frequent").select("word", "w")
-
-
-def _flagged_share(text: str | None, memo: dict, own: dict[str, float]) -> tuple[int, float]:
-    """Words of a page, and the share of them that lies in diverging matter; ``own`` has divergences of words that memo leaves open."""
-    t = tokens(text)
-    if not t:
-        return 0, 0.0
-    # NaN: nothing to compare, as in marks that separate
-    w = np.array([max(known, max(own.get(x, 0.0) for x in still)) if still else known for known, still in (memo[x] for x in t)])
-    seen = ~np.isnan(w)
-    around = np.ones(2 * NEAR + 1)
-    total = np.convolve(np.where(seen, w, 0.0), around)[NEAR : NEAR + len(t)]
-    n = np.convolve(seen.astype(float), around)[NEAR : NEAR + len(t)]
-    return len(t), float((total > FLAG * np.maximum(n, 1.0)).mean())
-
-
-def _shares(rows: DataFrame, weights: dict[str, float], others: DataFrame | None) -> DataFrame:
-    """``_id``, ``n_words`` and ``share`` of each page."""
-    sent = rows.sparkSession.sparkContext.broadcast(weights)
-    ident = f"_id {rows.schema['_id'].dataType.simpleString()}"
-
-    def still(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = _Memo(lambda t: tuple(w for w in parts(t) if w != "#" and w not in sent.value))
-        for df in batches:
-            yield pd.DataFrame({"_id": df["_id"], "words": [list({w for t in set(tokens(text)) for w in memo[t]}) for text in df["_t"]]})
+    return each.select("lang", "word", F.greatest(F.lit(low), F.least(F.lit(high), F.ln(rate) - F.ln((prose + 0.5) / (F.col("n_prose") + 1)))).alias("w"))
 
-    if others is None:
-        rows = rows.withColumn("_own", F.lit(None).cast("array<struct<word:string,w:double>>"))
-    else:
-        pairs = rows.mapInPandas(still, f"{ident}, words array<string>").select("_id", F.explode("words").alias("word")).join(others, "word")
-        rows = rows.join(pairs.groupBy("_id").agg(F.collect_list(F.struct("word", "w")).alias("_own")), "_id", "left")
-    rows = rows.select("_id", "_t", F.col("_own.word").alias("_words"), F.col("_own.w").alias("_w"))
 
-    def known(token: str) -> tuple[float, tuple[str, ...]]:
-        w = [x for x in parts(token) if x != "#"]
-        return max((sent.value[x] for x in w if x in sent.value), default=-math.inf if w else math.nan), tuple(x for x in w if x not in sent.value)
+def _flagged_shares(rows: DataFrame, weights: DataFrame) -> DataFrame:
+    """Share of the words of each page that lie in diverging matter: ``_h``, ``share``. ``rows``: ``_h``, ``lang``, ``_t``."""
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = _Memo(known)
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo = _Memo(lambda t: [w for w in parts(t) if w != "#"])
         for df in batches:
-            found = [_flagged_share(t, memo, {} if k is None else dict(zip(k, v))) for t, k, v in zip(df["_t"], df["_words"], df["_w"])]
-            yield pd.DataFrame({"_id": df["_id"], "n_words": [n for n, _ in found], "share": [s for _, s in found]})
+            yield pd.DataFrame({"_h": df["_h"], "lang": df["lang"], "tokens": [[memo[t] for t in tokens(text)] for text in df["_t"]]})
 
-    return rows.mapInPandas(score, f"{ident}, n_words int, share double")
+    tokens_ = rows.mapInPandas(split, "_h binary, lang string, tokens array<array<string>>").select("_h", "lang", F.posexplode("tokens").alias("pos", "parts"))
+    each = tokens_.select("_h", "lang", "pos", F.explode_outer("parts").alias("word")).join(weights, ["lang", "word"], "left")
+    # null: nothing to compare, as in marks that separate
+    at = each.groupBy("_h", "pos").agg(F.max(F.when(F.col("word").isNotNull(), F.coalesce("w", F.lit(0.0)))).alias("w"))
+    around = Window.partitionBy("_h").orderBy("pos").rowsBetween(-NEAR, NEAR)
+    flag = F.coalesce(F.sum("w").over(around), F.lit(0.0)) > FLAG * F.greatest(F.count("w").over(around), F.lit(1))
+    return at.select("_h", flag.cast("int").alias("f")).groupBy("_h").agg(F.avg("f").alias("share"))
 
 
-def spam_pages(documents: DataFrame, doc_id: str, text: str = "text", *, rounds: int = 2) -> DataFrame:
+def spam_pages(documents: DataFrame, doc_id: str, text: str = "text", lang: str | None = None) -> DataFrame:
     """Share of each page's words that is keyword matter: ``doc_id``, ``n_words``, ``share``.
 
-    Pages whose rank-frequency curve is extreme among same-language pages of comparable length are seeds. A word's
-    divergence compares its page rate in seeds with that in all other pages; a stretch of a page is such matter if
-    its words diverge. In a second round the pages with more than half of such matter are the seeds. The
-    statistics cover all pages and all words of the seeds; the driver gets only words that a fixed share of pages has.
+    Rank-frequency curves flag pages whose slope, residual, divergence or share of plain words is off among same-language
+    pages of comparable length; pages too short for a curve are flagged too. An exact check of the flagged pages follows:
+    a word's divergence compares its page rate in extreme pages with that in same-language prose, and a stretch
+    of a page is such matter if its words diverge. Statistics cover all different texts; texts are read once for the curves
+    and once for the flagged pages.
 
-    Null texts, and rows with a null id, have no row; blank texts have a share of 0. Without seeds (as in an empty
-    or very small table) every share is 0. Of repeated rows with one id the largest share counts. Other columns
-    are ignored.
+    Null texts, and rows with a null id, have no row; pages that no curve flags, and blank ones, have a share of 0. Without
+    extreme pages (as in an empty or very small table) every share is 0. Of repeated rows with one id the largest share
+    counts. Other columns are ignored.
     """
-    require(documents, doc_id, text)
-    rows = documents.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_t")).where("_id is not null and _t is not null")
-    everywhere = cut_lineage(_page_words(rows))
-    curves = page_curves(documents, doc_id, text)
-    repetitive = (F.col("slope_z") < -EXTREME) | (F.col("residual_z") > EXTREME) | ((F.col("divergence_z") > EXTREME) & F.col("few"))
-    seeds = cut_lineage(curves.where(repetitive).select("_id"))
-    shares = None
-    for k in range(rounds):
-        if k:
-            seeds = cut_lineage(shares.where("share > 0.5").select("_id"))
-        shares = _shares(rows, *_divergence(rows, everywhere, seeds))
-    return shares.groupBy("_id").agg(F.max("n_words").alias("n_words"), F.max("share").alias("share")).withColumnRenamed("_id", doc_id)
+    require(documents, doc_id, text, *([lang] if lang else []))
+    pages = _pages(documents, doc_id, text, lang)
+    once = _once(pages)
+    curves = cut_lineage(_curves(once))
+    extreme = (F.col("slope_z") < -EXTREME) | (F.col("residual_z") > EXTREME) | ((F.col("divergence_z") > EXTREME) & F.col("few"))
+    off = F.greatest(*[F.abs(F.col(f"{m}_z")) for m in ("slope", "residual", "divergence", "plain")]) > FLAGGED
+    weights = _divergences(once, curves.select("_row", "lang", extreme.cast("long").alias("seed")))
+    short = once.join(curves.select("_row"), "_row", "left_anti").where("n_tokens > 0").select("_row", F.lit("none").alias("lang"))
+    flagged = curves.where(off).select("_row", "lang").unionByName(short).join(once.select("_row", "_h"), "_row").select("_h", "lang")
+    texts = documents.select(F.unhex(F.sha2(F.col(f"`{text}`"), 256)).alias("_h"), F.col(f"`{text}`").alias("_t")).where(F.col(f"`{doc_id}`").isNotNull() & F.col("_t").isNotNull())
+    # copies of a flagged page are read, but checked once
+    checked = texts.join(flagged, "_h").groupBy("_h").agg(F.first("lang").alias("lang"), F.first("_t").alias("_t"))
+    shares = pages.select("_doc", "_h", "n_tokens").join(_flagged_shares(checked, weights), "_h", "left")
+    return shares.groupBy("_doc").agg(F.max("n_tokens").alias("n_words"), F.coalesce(F.max("share"), F.lit(0.0)).alias("share")).withColumnRenamed("_doc", doc_id)
