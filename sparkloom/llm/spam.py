@@ -8,8 +8,9 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.columns import require
@@ -114,7 +115,8 @@ def _once(pages: DataFrame) -> DataFrame:
     """One page of each text: of copies only the first stays. Only keys are shuffled where copies are few."""
     keys = pages.select("_row", "_h")
     first = keys.groupBy("_h").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    return pages.join(keys.join(first, "_h").where("_row <> _first").select("_row"), "_row", "left_anti")
+    copies = cut_lineage(keys.join(first, "_h").where("_row <> _first").select("_row"))
+    return pages.join(copies, "_row", "left_anti")
 
 
 def _languages(once: DataFrame) -> DataFrame:
@@ -249,21 +251,31 @@ def _divergences(once: DataFrame, judged: DataFrame) -> DataFrame:
     return each.select("lang", "word", F.greatest(F.lit(low), F.least(F.lit(high), F.ln(rate) - F.ln((prose + 0.5) / (F.col("n_prose") + 1)))).alias("w"))
 
 
-def _flagged_shares(rows: DataFrame, weights: DataFrame) -> DataFrame:
-    """Share of the words of each page that lie in diverging matter: ``_h``, ``share``. ``rows``: ``_h``, ``lang``, ``_t``."""
+def _flagged_shares(texts: DataFrame, flagged: DataFrame, weights: DataFrame) -> DataFrame:
+    """Share of the words of each flagged page that lie in diverging matter: ``_row``, ``share``.
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    ``texts``: ``_doc``, ``_h``, ``_t``. ``flagged``: ``_row``, ``_doc``, ``_h``, ``lang``, ``words``. Different words of flagged pages meet the
+    divergences; each page then gets those of its own words.
+    """
+    own = flagged.select("_row", "lang", F.explode("words").alias("word")).join(weights, ["lang", "word"]).groupBy("_row").agg(F.collect_list("word").alias("have"), F.collect_list("w").alias("w"))
+    rows = texts.join(flagged.select("_row", "_doc", "_h"), ["_doc", "_h"]).select("_row", "_t").join(own, "_row", "left")
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = _Memo(lambda t: [w for w in parts(t) if w != "#"])
+        around = np.ones(2 * NEAR + 1)
         for df in batches:
-            yield pd.DataFrame({"_h": df["_h"], "lang": df["lang"], "tokens": [[memo[t] for t in tokens(text)] for text in df["_t"]]})
+            shares = []
+            for text, have, w in zip(df["_t"], df["have"], df["w"]):
+                get = {} if have is None else dict(zip(have, w))
+                # NaN: nothing to compare, as in marks that separate
+                w = np.array([max(get.get(x, 0.0) for x in own) if own else math.nan for own in map(memo.__getitem__, tokens(text))])
+                seen = ~np.isnan(w)
+                total = np.convolve(np.where(seen, w, 0.0), around)[NEAR : NEAR + len(w)]
+                n = np.convolve(seen.astype(float), around)[NEAR : NEAR + len(w)]
+                shares.append(float((total > FLAG * np.maximum(n, 1.0)).mean()))
+            yield pd.DataFrame({"_row": df["_row"], "share": shares})
 
-    tokens_ = rows.mapInPandas(split, "_h binary, lang string, tokens array<array<string>>").select("_h", "lang", F.posexplode("tokens").alias("pos", "parts"))
-    each = tokens_.select("_h", "lang", "pos", F.explode_outer("parts").alias("word")).join(weights, ["lang", "word"], "left")
-    # null: nothing to compare, as in marks that separate
-    at = each.groupBy("_h", "pos").agg(F.max(F.when(F.col("word").isNotNull(), F.coalesce("w", F.lit(0.0)))).alias("w"))
-    around = Window.partitionBy("_h").orderBy("pos").rowsBetween(-NEAR, NEAR)
-    flag = F.coalesce(F.sum("w").over(around), F.lit(0.0)) > FLAG * F.greatest(F.count("w").over(around), F.lit(1))
-    return at.select("_h", flag.cast("int").alias("f")).groupBy("_h").agg(F.avg("f").alias("share"))
+    return rows.mapInPandas(score, "_row long, share double")
 
 
 def spam_pages(documents: DataFrame, doc_id: str, text: str = "text", lang: str | None = None) -> DataFrame:
@@ -287,9 +299,9 @@ def spam_pages(documents: DataFrame, doc_id: str, text: str = "text", lang: str
     off = F.greatest(*[F.abs(F.col(f"{m}_z")) for m in ("slope", "residual", "divergence", "plain")]) > FLAGGED
     weights = _divergences(once, curves.select("_row", "lang", extreme.cast("long").alias("seed")))
     short = once.join(curves.select("_row"), "_row", "left_anti").where("n_tokens > 0").select("_row", F.lit("none").alias("lang"))
-    flagged = curves.where(off).select("_row", "lang").unionByName(short).join(once.select("_row", "_h"), "_row").select("_h", "lang")
-    texts = documents.select(F.unhex(F.sha2(F.col(f"`{text}`"), 256)).alias("_h"), F.col(f"`{text}`").alias("_t")).where(F.col(f"`{doc_id}`").isNotNull() & F.col("_t").isNotNull())
-    # copies of a flagged page are read, but checked once
-    checked = texts.join(flagged, "_h").groupBy("_h").agg(F.first("lang").alias("lang"), F.first("_t").alias("_t"))
-    shares = pages.select("_doc", "_h", "n_tokens").join(_flagged_shares(checked, weights), "_h", "left")
+    flagged = once.join(curves.where(off).select("_row", "lang").unionByName(short), "_row").select("_row", "_doc", "_h", "lang", "words")
+    texts = documents.select(F.col(f"`{doc_id}`").alias("_doc"), F.unhex(F.sha2(F.col(f"`{text}`"), 256)).alias("_h"), F.col(f"`{text}`").alias("_t"))
+    # of copies one was flagged; each gets its share
+    checked = _flagged_shares(texts, flagged, weights).where("share > 0").join(once.select("_row", "_h"), "_row").select("_h", "share").distinct()
+    shares = pages.select("_doc", "_h", "n_tokens").join(checked, "_h", "left")
     return shares.groupBy("_doc").agg(F.max("n_tokens").alias("n_words"), F.coalesce(F.max("share"), F.lit(0.0)).alias("share")).withColumnRenamed("_doc", doc_id)
