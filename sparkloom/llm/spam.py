@@ -236,7 +236,7 @@ def _divergences(once: DataFrame, judged: DataFrame) -> DataFrame:
 
     ``judged``: ``_row``, ``lang`` and whether the page is ``extreme``. Languages are a short list (1 / LABELLED, and none).
     """
-    words = once.select("_row", F.explode("words").alias("word")).join(judged, "_row").groupBy("lang", "word").agg(F.sum("seed").alias("seeds"), F.sum(1 - F.col("seed")).alias("prose"))
+    words = once.select("_row", "words").join(judged, "_row").select("lang", "seed", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.sum("seed").alias("seeds"), F.sum(1 - F.col("seed")).alias("prose"))
     words = cut_lineage(words)
     size = judged.groupBy("lang").agg(F.sum("seed").alias("n_seeds"), F.sum(1 - F.col("seed")).alias("n_prose"))
     all_size = size.agg(F.sum("n_seeds").alias("all_seeds"), F.sum("n_prose").alias("all_prose"))
