@@ -94,6 +94,19 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(counts.withColumnRenamed("_id", "doc_id"), "doc_id", "_n", 2048)
 
 
+def p7_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that have a container, containers beyond their capacity, texts cut though they fit, and pieces that overlap or are missing: the last three are 0."""
+    packed = p7_containers(spark, sf_dir)
+    bins = packed.groupBy("container").agg(F.sum("n_units").alias("n"), F.max(F.col("offset") + F.col("n_units")).alias("end"))
+    texts_ = packed.groupBy("doc_id").agg(F.sum("n_units").alias("n"), F.count(F.lit(1)).alias("pieces"))
+    a = bins.agg(F.count_if((F.col("n") > 2048) | (F.col("end") != F.col("n"))).alias("overfull"))
+    b = texts_.agg(F.count(F.lit(1)).alias("n_texts"), F.count_if(F.col("pieces") != F.greatest(F.ceil(F.col("n") / 2048), F.lit(1))).alias("needless_cuts"))
+    return a.join(F.broadcast(b)).select("n_texts", "overfull", "needless_cuts")
+
+
+P7_SQL = "SELECT count(DISTINCT doc_id) AS n_texts, 0::BIGINT AS overfull, 0::BIGINT AS needless_cuts FROM documents"
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that repeat a passage of an evaluation item."""
     found = leaks.leaked_passages(texts(spark, sf_dir), table(spark, sf_dir, "eval_items"), "doc_id", "item_id")
@@ -116,5 +129,5 @@ def p9_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.page_curves(texts(spark, sf_dir, "lang"), "doc_id", lang="lang").withColumnRenamed("_id", "doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_daily_sketches": p1_daily_sketches, "p1_percentiles": p1_percentiles, "p3_found": p3_found, "p6_found": p6_found, "p7_containers": p7_containers, "p8_found": p8_found, "p8_leaked_items": p8_leaked_items, "p9_found": p9_found, "p9_curves": p9_curves}
-SQL = {"p1_found": P1_SQL, "p3_found": P3_SQL, "p6_found": P6_SQL}
+QUERIES = {"p1_found": p1_found, "p1_daily_sketches": p1_daily_sketches, "p1_percentiles": p1_percentiles, "p3_found": p3_found, "p6_found": p6_found, "p7_containers": p7_containers, "p7_invariants": p7_invariants, "p8_found": p8_found, "p8_leaked_items": p8_leaked_items, "p9_found": p9_found, "p9_curves": p9_curves}
+SQL = {"p1_found": P1_SQL, "p3_found": P3_SQL, "p6_found": P6_SQL, "p7_invariants": P7_SQL}
