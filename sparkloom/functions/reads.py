@@ -14,43 +14,51 @@ from sparkloom.functions.sequence import best_orf, digest_of, edit_distance, loc
 CLASSES = ("snp", "insertion", "deletion", "complex", "n_terminal_truncation", "c_terminal_truncation", "trypsin_cutsite_mutation", "n_term_deviation", "c_term_deviation", "unknown", "non_reference")
 
 
-def _segments(seq: str, adapter5: str, primer3: str, panel: dict[str, str], max_distance: int, max_barcode: int) -> dict:
-    head = locate_of(adapter5, seq[: 3 * len(adapter5) + 40])
+def _segments(seq: str, adapter5: str, primer3: str, panel: dict[str, str], max_distance: int, max_barcode: int, poly_a: dict[str, int], seen: dict[str, str | None]) -> dict:
+    """Parts of a read in one direction: the adapter lies anywhere before poly-A, primer and barcode behind it."""
+    tail = poly_a_of(seq, **poly_a)
+    before, behind = (seq[: tail[0]], seq[tail[1] :]) if tail else (seq, "")
+    head = locate_of(adapter5, before) if before else (len(adapter5), 0, 0)
     five = head[2] if head[0] <= max_distance else None
-    tail = poly_a_of(seq)
-    rest = seq[tail[1] :] if tail else seq
-    primer = locate_of(primer3, rest)
+    primer = locate_of(primer3, behind) if behind else (len(primer3), 0, 0)
     three = primer[0] <= max_distance
     name = None
-    if three:
-        umi = rest[: primer[1]] if primer[1] else rest[primer[2] :]
-        scores = sorted((locate_of(b, umi)[0], n) for n, b in panel.items()) if umi else []
-        if scores and scores[0][0] <= max_barcode:
-            name = scores[0][1]
+    umi = behind[: primer[1]] if three else ""
+    if umi:
+        if umi not in seen:
+            score, best = min((locate_of(b, umi)[0], n) for n, b in panel.items()) if panel else (max_barcode + 1, None)
+            seen[umi] = best if score <= max_barcode else None
+        name = seen[umi]
     status = "Complete" if five is not None and three and name else "3' Only" if three and name else "Missing Barcode" if five is not None and three else "5' Only" if five is not None else "Unknown"
     return {"start": five or 0, "end": tail[0] if tail else len(seq), "barcode": name, "status": status}
 
 
-def demultiplex(reads: DataFrame, *, adapter5: str, primer3: str, barcodes: dict[str, str], max_distance: int = 3, max_barcode: int = 2, min_transcript: int = 100) -> DataFrame:
+def demultiplex(reads: DataFrame, *, adapter5: str, primer3: str, barcodes: dict[str, str], max_distance: int = 3, max_barcode: int = 2, min_transcript: int = 100, poly_a: dict[str, int] | None = None) -> DataFrame:
     """Orientation, transcript span, barcode and status of each read (read_id, sequence): adapters, poly-A and barcode in both directions.
 
+    The whole sequence before poly-A is searched for the adapter. ``poly_a``: limits of the run (query, min_length, max_length, edge).
+    A barcode is scored once for each different text before the primer.
+
     The direction with the better status is taken; if both or neither are complete, forward, as complex. ``fragment`` marks short transcripts.
     """
     turn = str.maketrans("ACGTN", "TGCAN")
 
     def run(batches):
+        seen: dict[str, str | None] = {}
         for part in batches:
             rows = []
+            if len(seen) > 100_000:
+                seen.clear()
             for read, seq in zip(part["read_id"], part["sequence"]):
                 both = {"+": seq, "-": seq.translate(turn)[::-1]}
-                found = {s: _segments(q, adapter5, primer3, barcodes, max_distance, max_barcode) for s, q in both.items()}
+                found = {s: _segments(q, adapter5, primer3, barcodes, max_distance, max_barcode, poly_a or {}, seen) for s, q in both.items()}
                 f, r = found["+"]["status"], found["-"]["status"]
                 strand, odd = ("+", False) if r == "Unknown" else ("-", False) if f == "Unknown" else ("+", False) if f == "Complete" != r else ("-", False) if r == "Complete" != f else ("+", True)
                 s = found[strand]
                 rows.append((read, strand, odd, s["status"], s["barcode"], s["start"], s["end"], s["end"] - s["start"] < min_transcript, both[strand][s["start"] : s["end"]]))
             yield pd.DataFrame(rows, columns=["read_id", "strand", "is_complex", "status", "barcode", "start", "end", "fragment", "transcript"])
 
-    schema = "read_id string, strand string, is_complex boolean, status string, barcode string, start int, end int, fragment boolean, transcript string"
+    schema = f"read_id {reads.schema['read_id'].dataType.simpleString()}, strand string, is_complex boolean, status string, barcode string, start int, end int, fragment boolean, transcript string"
     return reads.select("read_id", F.upper("sequence").alias("sequence")).where("sequence IS NOT NULL").mapInPandas(run, schema)
 
 

@@ -254,11 +254,44 @@ def edit_distance(a: str | Column, b: str | Column, limit: int | None = None) ->
     return F.nullif(F.levenshtein(_col(a), _col(b), limit), F.lit(-1))
 
 
+def _first_best(query: str, ref: str) -> tuple[int, int]:
+    """Least edit distance of a query anywhere in a text and where the first best place ends, a column of the programme at once.
+
+    The differences down a column are kept as bits of two whole numbers.
+    """
+    m = len(query)
+    full, top = (1 << m) - 1, 1 << m - 1
+    equal: dict[str, int] = {}
+    for i, q in enumerate(query):
+        equal[q] = equal.get(q, 0) | 1 << i
+    up, down, score, best = full, 0, m, (m, 0)
+    for j, c in enumerate(ref, 1):
+        eq = equal.get(c, 0)
+        across = ((eq & up) + up ^ up) | eq
+        more, less = down | ~(across | up) & full, up & across
+        score += 1 if more & top else -1 if less & top else 0
+        if score < best[0]:
+            best = (score, j)
+        more, less, eq = more << 1 & full, less << 1 & full, eq | down
+        up, down = less | ~(eq | more) & full, more & eq
+    return best
+
+
 def locate_of(query: str, ref: str, mode: str = "infix") -> tuple[int, int, int]:
     """Least edit distance of a query within a text, and where (start, end) the first best place lies.
 
     ``infix``: anywhere; ``prefix``: from the text's beginning on, its rest is free.
     """
+    if mode == "infix" and query and len(ref) > 2 * len(query):
+        # only the letters that the first best place can hold are aligned
+        d, end = _first_best(query, ref)
+        at = max(0, end - len(query) - d)
+        d, start, stop = _aligned(query, ref[at:end], mode)
+        return (d, at + start, at + stop) if end else (d, 0, 0)
+    return _aligned(query, ref, mode)
+
+
+def _aligned(query: str, ref: str, mode: str) -> tuple[int, int, int]:
     # one row of the dynamic programme for each letter of the text: (distance, start)
     column = [(i, 0) for i in range(len(query) + 1)]
     best = (column[-1][0], 0, 0)

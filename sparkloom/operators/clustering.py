@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.columns import names
 from sparkloom.operators.aggregates import CANONICAL_MOTIFS
+from sparkloom.operators.intervals import interval_join
+from sparkloom.operators.periods import periods_and_gaps
 from sparkloom.operators.relational import dense_ids
 from sparkloom.session import cut_lineage, shuffle_partitions
 
@@ -136,9 +138,16 @@ def restrict_to_star(df: DataFrame, keys: str | list[str], item: str, mz: str, p
 
 
 def pack_rows(df: DataFrame, keys: str | list[str], start: str, end: str, row: str = "row") -> DataFrame:
-    """Display row of each interval of a group: the lowest row that is free when it starts. For the content of a viewport."""
+    """Display row of each interval of a group: the lowest row that is free when it starts.
+
+    Where no interval is open all rows are free, so each continuous period of a group is packed by itself; intervals that
+    only touch are packed together. Rows with a null key and empty intervals have no row. Equal intervals go by all other columns, so that the rows don't depend on the input's order.
+    """
+    keys = names(keys)
+    ties = [c for c in df.columns if c not in (start, end, row)]
+
     def assign(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([start, end], kind="stable")
+        part = part.sort_values([start, end, *ties], kind="stable")
         busy: list[tuple[int, int]] = []  # end, row
         free: list[int] = []
         out, rows = [], 0
@@ -154,7 +163,11 @@ def pack_rows(df: DataFrame, keys: str | list[str], start: str, end: str, row: s
         return part.assign(**{row: out})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != row)
-    return df.drop(row).groupBy(*names(keys)).applyInPandas(assign, f"{schema}, {row} int")
+    rows = df.drop(row).where(F.col(start) < F.col(end))
+    k = [f"_k{i}" for i in range(len(keys))]
+    periods = periods_and_gaps(rows, keys, start, end, gaps=False).select(*[F.col(c).alias(n) for c, n in zip(keys, k)], F.col("range_start").alias("_ps"), F.col("range_end").alias("_pe"))
+    placed = interval_join(rows.select("*", *[F.col(c).alias(n) for c, n in zip(keys, k)]), periods, k, start, end, "_ps", "_pe")
+    return placed.drop(*k, "_pe").groupBy(*keys, "_ps").applyInPandas(lambda part: assign(part.drop(columns="_ps")), f"{schema}, {row} int")
 
 
 def read_fingerprints(blocks: DataFrame, alignments: DataFrame, introns: DataFrame) -> DataFrame:

@@ -507,7 +507,7 @@ def _(t):
 
 @query("row_packing")
 def _(t):
-    rows = intervals.viewport(t.cluster_pileup.select("cluster_id", "contig_id", "span_start", "span_end").distinct(), "span_start", "span_end", 0, 2_000_000)
+    rows = t.cluster_pileup.select("cluster_id", "contig_id", "span_start", "span_end").distinct()
     return clustering.pack_rows(rows.where("span_end > span_start"), "contig_id", "span_start", "span_end")
 
 
@@ -560,32 +560,17 @@ def _(t):
     return graph.depths(_tree(t))
 
 
-@query("tree_lineage", _TREE + "a AS (SELECT node, node AS anc, 0 AS k FROM t WHERE node % 97 = 5 UNION ALL SELECT a.node, t.parent, a.k + 1 FROM a JOIN t ON t.node = a.anc WHERE t.parent IS NOT NULL AND t.parent <> t.node) SELECT node, string_agg(CAST(anc AS VARCHAR), '/' ORDER BY k DESC) AS path FROM a GROUP BY node")
-def _(t):
-    return graph.lineage(_tree(t), _tree(t).where("node % 97 = 5")).select("node", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"))
-
-
-@query("tree_lineage_whole", _TREE + "a AS (SELECT node, node AS anc, 0 AS k FROM t UNION ALL SELECT a.node, t.parent, a.k + 1 FROM a JOIN t ON t.node = a.anc WHERE t.parent IS NOT NULL AND t.parent <> t.node) SELECT node, string_agg(CAST(anc AS VARCHAR), '/' ORDER BY k DESC) AS path FROM a GROUP BY node")
+@query("tree_lineage", _TREE + "a AS (SELECT node, node AS anc, 0 AS k FROM t UNION ALL SELECT a.node, t.parent, a.k + 1 FROM a JOIN t ON t.node = a.anc WHERE t.parent IS NOT NULL AND t.parent <> t.node) SELECT node, string_agg(CAST(anc AS VARCHAR), '/' ORDER BY k DESC) AS path FROM a GROUP BY node")
 def _(t):
     return graph.lineage(_tree(t), _tree(t)).select("node", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"))
 
 
-@query("tree_descendants", _TREE + "d AS (SELECT node, node AS descendant, 0 AS distance FROM t WHERE node IN (3, 10) UNION ALL SELECT d.node, t.node, d.distance + 1 FROM d JOIN t ON t.parent = d.descendant AND t.node <> t.parent WHERE d.distance < 4) SELECT node, descendant, distance FROM d WHERE distance > 0")
+@query("tree_descendants", _TREE + "d AS (SELECT node, node AS descendant, 0 AS distance FROM t UNION ALL SELECT d.node, t.node, d.distance + 1 FROM d JOIN t ON t.parent = d.descendant AND t.node <> t.parent) SELECT node, descendant, distance FROM d WHERE distance > 0")
 def _(t):
-    return graph.descendants(_tree(t), _tree(t).where("node IN (3, 10)"), max_depth=4)
+    return graph.descendants(_tree(t), _tree(t))
 
 
 @query("tree_lca", _TREE + """
-p AS (SELECT c_custkey AS a, (c_custkey * 7) % 100 AS b FROM customer WHERE c_custkey < 100),
-u AS (SELECT node, node AS anc, 0 AS k FROM t WHERE node < 100 UNION ALL SELECT u.node, t.parent, u.k + 1 FROM u JOIN t ON t.node = u.anc WHERE t.parent IS NOT NULL AND t.parent <> t.node),
-j AS (SELECT p.a, p.b, x.anc, row_number() OVER (PARTITION BY p.a, p.b ORDER BY x.k + y.k, x.anc) AS k FROM p JOIN u x ON x.node = p.a JOIN u y ON y.node = p.b AND y.anc = x.anc)
-SELECT a, b, anc AS lca FROM j WHERE k = 1""")
-def _(t):
-    pairs = t.customer.where("c_custkey < 100").select(F.col("c_custkey").alias("a"), (F.col("c_custkey") * 7 % 100).alias("b"))
-    return graph.lowest_common_ancestor(_tree(t), pairs)
-
-
-@query("tree_lca_whole", _TREE + """
 p AS (SELECT c_custkey AS a, (c_custkey * 7) % (SELECT max(c_custkey) + 1 FROM customer) AS b FROM customer),
 u AS (SELECT node, node AS anc, 0 AS k FROM t UNION ALL SELECT u.node, t.parent, u.k + 1 FROM u JOIN t ON t.node = u.anc WHERE t.parent IS NOT NULL AND t.parent <> t.node),
 j AS (SELECT p.a, p.b, x.anc, row_number() OVER (PARTITION BY p.a, p.b ORDER BY x.k + y.k, x.anc) AS k FROM p JOIN u x ON x.node = p.a JOIN u y ON y.node = p.b AND y.anc = x.anc)
@@ -631,9 +616,9 @@ def _(t):
     return integrity.validate(tables, {"customer": "c_custkey", "introns": "intron_id"}, [("orders", "o_custkey", "customer", "c_custkey"), ("documents", "reissue_of", "documents", "doc_id")])
 
 
-@query("length_mismatches", "SELECT doc_id FROM documents WHERE length(text) IS DISTINCT FROM n_chars")
+@query("length_mismatches", "SELECT doc_id FROM documents WHERE length(trim(text)) IS DISTINCT FROM n_chars")
 def _(t):
-    return integrity.length_mismatches(t.documents, "text", "n_chars").select("doc_id")
+    return integrity.length_mismatches(t.documents.withColumn("text", F.trim("text")), "text", "n_chars").select("doc_id")
 
 
 # --- sequences ---------------------------------------------------------------------------------------------------
@@ -832,9 +817,9 @@ def _(t):
     return x.select("l_orderkey", "l_linenumber", "l_partkey", r("weight", 9).alias("weight"))
 
 
-@query("trace_grid", "SELECT user_id, coalesce(max(value) FILTER (event_type = 'click'), 0) AS click, coalesce(max(value) FILTER (event_type = 'error'), 0) AS error FROM events GROUP BY 1")
+@query("trace_grid", "SELECT user_id, coalesce(max(value) FILTER (event_type = 'click'), 0) AS click, coalesce(max(value) FILTER (event_type = 'error'), 0) AS error, coalesce(max(value) FILTER (event_type = 'purchase'), 0) AS purchase, coalesce(max(value) FILTER (event_type = 'signup'), 0) AS signup, coalesce(max(value) FILTER (event_type = 'view'), 0) AS view FROM events GROUP BY 1")
 def _(t):
-    return stats.trace_grid(t.events, "user_id", "event_type", "value", ["click", "error"])
+    return stats.trace_grid(t.events, "user_id", "event_type", "value", ["click", "error", "purchase", "signup", "view"])
 
 
 @query("peak_fits")

@@ -187,9 +187,9 @@ def read_maxquant(spark: SparkSession, path: str, acquisitions: DataFrame | None
 
 
 def read_parameters(spark: SparkSession, path: str) -> dict[str, str]:
-    """Key and value of a parameter file."""
+    """Key and value of a parameter file, all of them; it is read line by line."""
     rows = spark.read.option("sep", "\t").option("header", True).csv(path)
-    return {r[0]: r[1] for r in rows.limit(10_000).collect()}
+    return {r[0]: r[1] for r in rows.toLocalIterator()}
 
 
 @register_reader(".msp")

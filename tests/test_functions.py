@@ -1,6 +1,7 @@
 """Sequence, CIGAR, notation, chemistry, vector, statistics and geometry functions."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -179,3 +180,21 @@ def test_reads(spark):
     assert classify("XXX", "AAPEPTKAA", "AAPEPTKAA", 1, 1, "9M") == "unknown"
     rows = spark.createDataFrame([("p", "snp", 1.0, "x"), ("p", "complex", 9.0, "y"), ("q", "unknown", 1.0, "a"), ("q", "unknown", 3.0, "b")], "peptide string, class string, abundance double, protein_id string")
     assert {(r["peptide"], r["protein_id"]) for r in reads.prefer_class(rows).collect()} == {("p", "x"), ("q", "b")}
+
+
+def test_places_are_those_of_the_whole_programme():
+    rng = random.Random(8)
+    for _ in range(1500):
+        q = "".join(rng.choice("ACGT") for _ in range(rng.randint(1, 12)))
+        text = "".join(rng.choice("ACGT") for _ in range(rng.randint(0, 90)))
+        assert sequence.locate_of(q, text) == sequence._aligned(q, text, "infix")
+    assert sequence.locate_of("", "ACGT") == (0, 0, 0) and sequence.locate_of("ACG", "") == (3, 0, 0)
+
+
+def test_adapter_lies_anywhere_before_poly_a(spark):
+    adapter, primer = "GATTACAGATTACA", "GTGTGTGTCAGTCA"
+    body = "CGT" * 50
+    reads_ = [(1, "CCT" * 60 + adapter + body + "A" * 30 + "CCCCTTTT" + primer), (2, body + adapter + "CGT" * 10), (3, body + "A" * 30 + "CCCCTTTT" + primer), (4, "A" * 400), (5, ""), (6, None)]
+    d = {r["read_id"]: r for r in reads.demultiplex(spark.createDataFrame(reads_, "read_id long, sequence string"), adapter5=adapter, primer3=primer, barcodes={"b1": "CCCCTTTT", "b2": "GGGGAAAA"}).collect()}
+    assert (d[1]["status"], d[1]["start"], d[1]["transcript"]) == ("Complete", 194, body)
+    assert d[2]["status"] == "5' Only" and d[3]["status"] == "3' Only" and d[3]["start"] == 0 and d[4]["status"] == d[5]["status"] == "Unknown" and 6 not in d

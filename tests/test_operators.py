@@ -145,6 +145,16 @@ def test_units_packing_representatives(spark):
     assert rows(u) == sorted([("a", 0.0, 0), ("a", 4.0, 0), ("a", 6.0, 1), ("a", 11.5, 2), ("b", 1.0, 0)], key=str)
     p = clustering.pack_rows(spark.createDataFrame([(1, 0, 10), (1, 5, 8), (1, 8, 20), (1, 10, 12)], "c int, s long, e long"), "c", "s", "e")
     assert rows(p, "s", "row") == [(0, 0), (10, 0), (5, 1), (8, 1)]
+    rng = random.Random(5)
+    spans = [(i, rng.choice("ab"), s, s + rng.randint(0, 40)) for i, s in enumerate(rng.randint(0, 3000) for _ in range(300))]
+    got = {r["i"]: r["row"] for r in clustering.pack_rows(spark.createDataFrame(spans, "i int, c string, s long, e long").repartition(3), "c", "s", "e").collect()}
+    ends: dict = {}
+    for i, c, s, e in sorted(((i, c, s, e) for i, c, s, e in spans if s < e), key=lambda x: (x[1], x[2], x[3], x[0])):
+        own = ends.setdefault(c, [])
+        row = next((k for k, end in enumerate(own) if end <= s), len(own))
+        own[row : row + 1] = [e]
+        assert got.pop(i) == row
+    assert not got
     m = spark.createDataFrame([("c", "AA", 1.0, "r3"), ("c", "AA", 2.0, "r2"), ("c", "TT", 9.0, "r1")], "k string, s string, q double, r string")
     assert rows(clustering.representatives(m, "k", "s", "q", "r"), "r", "n_same", "n_unique") == [("r2", 2, 2)]
     star = clustering.restrict_to_star(spark.createDataFrame([(1, "x", 100.0), (1, "y", 100.001), (1, "z", 100.0019)], "k int, i string, m double"), "k", "i", "m", 15.0)
