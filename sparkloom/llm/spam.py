@@ -298,8 +298,10 @@ def spam_pages(documents: DataFrame, doc_id: str, text: str = "text", lang: str
     extreme = (F.col("slope_z") < -EXTREME) | (F.col("residual_z") > EXTREME) | ((F.col("divergence_z") > EXTREME) & F.col("few"))
     off = F.greatest(*[F.abs(F.col(f"{m}_z")) for m in ("slope", "residual", "divergence", "plain")]) > FLAGGED
     weights = _divergences(once, curves.select("_row", "lang", extreme.cast("long").alias("seed")))
-    short = once.join(curves.select("_row"), "_row", "left_anti").where("n_tokens > 0").select("_row", F.lit("none").alias("lang"))
-    flagged = once.join(curves.where(off).select("_row", "lang").unionByName(short), "_row").select("_row", "_doc", "_h", "lang", "words")
+    short = once.select("_row", "n_tokens").join(curves.select("_row"), "_row", "left_anti").where("n_tokens > 0").select("_row", F.lit("none").alias("lang"))
+    # written first, so that the join knows how few they are and doesn't shuffle all pages for them
+    marks = cut_lineage(curves.where(off).select("_row", "lang").unionByName(short))
+    flagged = once.join(marks, "_row").select("_row", "_doc", "_h", "lang", "words")
     texts = documents.select(F.col(f"`{doc_id}`").alias("_doc"), F.unhex(F.sha2(F.col(f"`{text}`"), 256)).alias("_h"), F.col(f"`{text}`").alias("_t"))
     # of copies one was flagged; each gets its share
     checked = _flagged_shares(texts, flagged, weights).where("share > 0").join(once.select("_row", "_h"), "_row").select("_h", "share").distinct()

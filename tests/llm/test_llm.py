@@ -359,3 +359,23 @@ def test_copies_and_many_extreme_pages_keep_the_norms(spark):
     assert extreme(prose + keywords[:1] * 300) == set(range(200, 500))
     # copies of one prose page are over three quarters of the class
     assert extreme(prose + prose[:1] * 900) == set()
+
+
+def test_a_language_is_learnt_from_its_labels(spark):
+    rng = random.Random(17)
+    parts = ["ba", "ke", "li", "mo", "nu", "pa", "re", "si", "tan", "vel", "dor", "min"]
+    docs, bad = [], set()
+    for lang, common, tail, n in (("xx", ["wo", "li", "na"], "u", 400), ("YY", ["sor", "ta", "em"], "o", 40)):
+        words = common + [a + b + tail for a in parts for b in parts]
+        weights = [40, 30, 20] + [1] * (len(words) - 3)
+        for k in range(n):
+            i = len(docs)
+            text = rng.choices(words, weights, k=rng.randint(60, 120))
+            if k % 10 == 0:  # keywords between words of the language
+                text = [w for _ in range(40) for w in (rng.choice(common), rng.choice(["kauf", "preis", "rabatt"]))]
+                bad.add(i)
+            docs.append((i, " ".join(text), None if k % 9 == 0 else "xx" if k % 11 == 0 else lang))
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in spam.spam_pages(df, "doc_id", lang="lang").where("share > 0.5").collect()} == bad
+    langs = {r["_id"]: r["lang"] for r in spam.page_curves(df, "doc_id", lang="lang").collect()}
+    assert all(langs[i] == ("xx" if i < 400 else "yy") for i in range(440) if i not in bad)
