@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.columns import names
+from sparkloom.session import shuffle_partitions
 
 
 def _lgamma(x):
@@ -163,24 +165,50 @@ CURVES: dict[str, tuple[Callable, tuple[str, ...]]] = {
 
 # --- optimisers --------------------------------------------------------------------------------------------------
 
+def _trials(rng, population: int, dims: int, crossover: float):
+    """Random numbers of one trial after another: the member, the three others it is made of, what it takes from them, new places."""
+    while True:
+        for i in range(population):
+            others = rng.choice(np.delete(np.arange(population), i), 3, replace=False)
+            taken = (rng.random(dims) < crossover) | (np.arange(dims) == rng.integers(dims))
+            yield i, others, taken, rng.random(dims)
+
+
 def differential_evolution(f, bounds, *, seed: int = 0, generations: int = 150, population: int = 24, f_scale: float = 0.7, crossover: float = 0.9, tol: float = 1e-10):
     """Best point and value within bounds, by rand/1/bin with a fixed seed."""
+    points, values = evolve_groups(lambda p, _: np.array([f(p[:, 0])]), 1, bounds, seed=seed, generations=generations, population=population, f_scale=f_scale, crossover=crossover, tol=tol)
+    return points[0], float(values[0])
+
+
+def evolve_groups(f, n: int, bounds, *, seed: int = 0, generations: int = 150, population: int = 24, f_scale: float = 0.7, crossover: float = 0.9, tol: float = 1e-10):
+    """Best points (n x parameters) and values of n functions, each by rand/1/bin with the same random numbers, a trial of all at once.
+
+    ``f(points, at)``: values of the functions ``at`` at points (parameters x functions). A function is left when its own members agree.
+    """
     rng = np.random.default_rng(seed)
     low, high = np.array(bounds, float).T
-    pop = low + rng.random((population, len(low))) * (high - low)
-    cost = np.array([f(p) for p in pop])
-    for _ in range(generations):
-        for i in range(population):
-            a, b, c = pop[rng.choice(np.delete(np.arange(population), i), 3, replace=False)]
-            trial = np.where((rng.random(len(low)) < crossover) | (np.arange(len(low)) == rng.integers(len(low))), a + f_scale * (b - c), pop[i])
-            trial = np.where((trial < low) | (trial > high), low + rng.random(len(low)) * (high - low), trial)
-            v = f(trial)
-            if v <= cost[i]:
-                pop[i], cost[i] = trial, v
-        if np.ptp(cost) < tol * (1 + abs(cost.min())):
+    dims, at = len(low), np.arange(n)
+    best, value = np.empty((n, dims)), np.empty(n)
+    pop = np.repeat((low + rng.random((population, dims)) * (high - low))[:, :, None], n, axis=2)
+    cost = np.array([f(p, at) for p in pop])
+    low, high = low[:, None], high[:, None]
+    trials = _trials(rng, population, dims, crossover)
+    for left in reversed(range(generations)):
+        for i, (a, b, c), taken, fresh in itertools.islice(trials, population):
+            trial = np.where(taken[:, None], pop[a] + f_scale * (pop[b] - pop[c]), pop[i])
+            trial = np.where((trial < low) | (trial > high), low + fresh[:, None] * (high - low), trial)
+            v = f(trial, at)
+            better = v <= cost[i]
+            pop[i], cost[i] = np.where(better, trial, pop[i]), np.where(better, v, cost[i])
+        over = (np.ptp(cost, axis=0) < tol * (1 + np.abs(cost.min(axis=0)))) | (left == 0)
+        if over.any():
+            which, rest = np.flatnonzero(over), np.flatnonzero(~over)
+            k = cost[:, which].argmin(axis=0)
+            best[at[which]], value[at[which]] = pop[k, :, which], cost[k, which]
+            at, pop, cost = at[rest], pop.take(rest, axis=2), cost.take(rest, axis=1)
+        if not len(at):
             break
-    k = int(cost.argmin())
-    return pop[k], float(cost[k])
+    return best, value
 
 
 def gradient(f, x, h: float = 1e-6):
@@ -258,29 +286,85 @@ def minimize(f, bounds, *, optimizer: str = "de", seed: int = 0, polish: bool =
 
 # --- fits per group ----------------------------------------------------------------------------------------------
 
-def fit_groups(df: DataFrame, keys, x: str, y: str, curve: str, bounds: dict[str, tuple[float, float]], *, optimizer: str = "de", seed: int = 0) -> DataFrame:
-    """Least-squares fit of a curve to each group: keys, a column per parameter, ``sse``, ``n``. A group is one trace."""
-    keys = names(keys)
-    shape, params = CURVES[curve]
-    limits = [bounds[p] for p in params]
+#: Values of the traces that are fitted at once.
+_FITTED = 1 << 15
+
+
+def _packed(traces: list[tuple[np.ndarray, np.ndarray]]):
+    """Traces in packs of similar length: their numbers, and points x traces of t, v and what counts (None: all)."""
+    order = sorted(range(len(traces)), key=lambda i: len(traces[i][0]))
+    while order:
+        size = max(1, _FITTED // max(1, len(traces[order[-1]][0])))
+        pack, order = order[-size:], order[:-size]
+        longest = len(traces[pack[-1]][0])
+        t, v = (np.array([np.pad(traces[i][k], (0, longest - len(traces[i][k])), "edge") for i in pack]).T.copy() for k in (0, 1))
+        counts = np.arange(longest)[:, None] < np.array([len(traces[i][0]) for i in pack])
+        yield pack, t, v, None if counts.all() else counts
 
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        t, v = part[x].to_numpy(float), part[y].to_numpy(float)
-        ok = np.isfinite(t) & np.isfinite(v)
-        t, v = t[ok], v[ok]
-        if len(t) < len(params):
-            return pd.DataFrame([[*part[keys].iloc[0], *[None] * len(params), None, len(t)]], columns=[*keys, *params, "sse", "n"])
 
+def fit_traces(traces: list[tuple[np.ndarray, np.ndarray]], curve: str, limits: list[tuple[float, float]], *, optimizer: str = "de", seed: int = 0) -> list[tuple[np.ndarray, float]]:
+    """Least-squares parameters and the sum of squares of each trace (t, v); what a trace gets doesn't depend on the others.
+
+    The global search runs over many traces at once, local steps trace by trace.
+    """
+    shape, out = CURVES[curve][0], [None] * len(traces)
+
+    def loss_of(t, v):
         def loss(p):
             with np.errstate(all="ignore"):
                 d = ((shape(t, *p) - v) ** 2).sum()
             return float(d) if np.isfinite(d) else 1e300
 
-        best, sse = minimize(loss, limits, optimizer=optimizer, seed=seed)
-        return pd.DataFrame([[*part[keys].iloc[0], *best, sse, len(t)]], columns=[*keys, *params, "sse", "n"])
+        return loss
+
+    if optimizer != "de":
+        return [minimize(loss_of(*x), limits, optimizer=optimizer) for x in traces]
+    for pack, t, v, counts in _packed(traces):
+        held: list = [None]
+
+        def losses(p, at, t=t, v=v, counts=counts, held=held):
+            if held[0] is None or len(held[0]) != len(at):  # traces are only ever left
+                two = np.repeat(at, 2) if len(at) == 1 else at  # a column on its own would be added up in another order
+                held[:] = [at, *[None if a is None else a.take(two, axis=1) for a in (t, v, counts)]]
+            with np.errstate(all="ignore"):
+                d = (shape(held[1], *p) - held[2]) ** 2
+                d = np.add.reduce(d if counts is None else np.where(held[3], d, 0.0), axis=0)
+            return np.where(np.isfinite(d), d, 1e300)[: len(at)]
+
+        for i, x, value in zip(pack, *evolve_groups(losses, len(pack), limits, seed=seed)):
+            y, w = lbfgs(loss_of(*traces[i]), x, limits)
+            out[i] = (y, w) if w < value else (x, float(value))
+    return out
+
+
+def fit_groups(df: DataFrame, keys, x: str, y: str, curve: str, bounds: dict[str, tuple[float, float]], *, optimizer: str = "de", seed: int = 0) -> DataFrame:
+    """Least-squares fit of a curve to each group: keys, a column per parameter, ``sse``, ``n``. A group is one trace.
+
+    Points count in order of x and y; null and infinite ones don't. Groups with fewer points than parameters get nulls.
+    """
+    keys = names(keys)
+    _, params = CURVES[curve]
+    limits = [bounds[p] for p in params]
 
-    head = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.select(*keys, x, y).groupBy(*keys).applyInPandas(fit, f"{head}, {', '.join(f'{p} double' for p in params)}, sse double, n long")
+    @F.pandas_udf(", ".join(f"{p} double" for p in params) + ", sse double, n long")
+    def fit(ts: pd.Series, vs: pd.Series) -> pd.DataFrame:
+        traces = []
+        for t, v in zip(ts, vs):
+            t, v = np.asarray(t, float), np.asarray(v, float)
+            ok = np.isfinite(t) & np.isfinite(v)
+            traces.append((t[ok], v[ok]))
+        enough = [i for i, (t, _) in enumerate(traces) if len(t) >= len(params)]
+        found = np.full((len(traces), len(params) + 1), np.nan)
+        for i, (p, sse) in zip(enough, fit_traces([traces[i] for i in enough], curve, limits, optimizer=optimizer, seed=seed)):
+            found[i] = [*p, sse]
+        out = pd.DataFrame(found, columns=[*params, "sse"])
+        out["n"] = [len(t) for t, _ in traces]
+        return out
+
+    # few rows make many fits: AQE would put all of them into one task
+    points = df.select(*keys, F.struct(F.col(x).cast("double").alias("t"), F.col(y).cast("double").alias("v")).alias("_p")).repartition(shuffle_partitions(df.sparkSession), *keys)
+    traces = points.groupBy(*keys).agg(F.sort_array(F.collect_list("_p")).alias("_p"))
+    return traces.select(*keys, fit(F.col("_p")["t"], F.col("_p")["v"]).alias("_f")).select(*keys, "_f.*")
 
 
 def credible_interval(df: DataFrame, keys, value: str, level: float = 0.95) -> DataFrame:

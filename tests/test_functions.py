@@ -163,6 +163,26 @@ def test_structure(spark):
     assert structure.mass_centroid(two, atoms).first()["x"] == pytest.approx(0.75)
 
 
+def test_traces_are_fitted_at_once_and_apart(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    t = [np.sort(rng.choice(24, rng.integers(4, 25), replace=False)).astype(float) for _ in range(30)]
+    traces = [(x, stats.gaussian_peak(x, 20 + k, 8 + k % 6, 2.0) + rng.random(len(x))) for k, x in enumerate(t)]
+    limits, calls, shape = [(0, 500), (0, 24), (1, 30)], [], stats.gaussian_peak
+    monkeypatch.setitem(stats.CURVES, "gaussian", (lambda *a: calls.append(1) or shape(*a), ("area", "mu", "sigma")))
+    at_once = stats.fit_traces(traces, "gaussian", limits)
+    assert len(calls) < 4000 + 100 * len(traces)  # one by one, each takes thousands
+    for trace, (best, sse) in zip(traces, at_once):
+        alone, value = stats.fit_traces([trace], "gaussian", limits)[0]
+        assert np.array_equal(best, alone) and sse == value
+    best, sse = stats.minimize(lambda p: ((shape(traces[0][0], *p) - traces[0][1]) ** 2).sum(), limits)
+    assert at_once[0][1] == pytest.approx(sse) and at_once[0][0] == pytest.approx(best, rel=1e-4)
+    rows = [(k, x, y) for k, trace in enumerate(traces) for x, y in zip(*map(np.ndarray.tolist, trace))] + [(0, None, 1.0), (98, 1.0, float("inf")), (98, 2.0, 3.0), (99, None, None), (None, 1.0, 2.0)]
+    got = stats.fit_groups(spark.createDataFrame(rows, "k int, x double, y double"), "k", "x", "y", "gaussian", dict(zip(("area", "mu", "sigma"), limits))).withColumn("task", F.spark_partition_id()).collect()
+    fit = {r["k"]: r for r in got}
+    assert len(got) == 33 and [fit[k]["n"] for k in (0, 98, 99, None)] == [len(t[0]), 1, 0, 1] and all(fit[k]["sse"] is fit[k]["mu"] is None for k in (98, 99, None))
+    assert all(fit[k]["sse"] == pytest.approx(sse) for k, (_, sse) in enumerate(at_once)) and len({r["task"] for r in got}) > 1
+
+
 def test_reads(spark):
     body = "ATG" + "GCA" * 50 + "TAG"
     read = "GATTACAGATTACA" + body + "A" * 20 + "CCCCTTTT" + "GTGTGTGTCAGTCA"
