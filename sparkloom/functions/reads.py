@@ -8,36 +8,44 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.functions.sequence import best_orf, digest_of, edit_distance, locate_of, poly_a_of
+from sparkloom.functions.sequence import best_orf, digest_of, edit_distance, ends_of, places_of, poly_a_of
 
 #: Classes of novel peptides, the most specific first.
 CLASSES = ("snp", "insertion", "deletion", "complex", "n_terminal_truncation", "c_terminal_truncation", "trypsin_cutsite_mutation", "n_term_deviation", "c_term_deviation", "unknown", "non_reference")
 
 
-def _segments(seq: str, adapter5: str, primer3: str, panel: dict[str, str], max_distance: int, max_barcode: int, poly_a: dict[str, int], seen: dict[str, str | None]) -> dict:
-    """Parts of a read in one direction: the adapter lies anywhere before poly-A, primer and barcode behind it."""
-    tail = poly_a_of(seq, **poly_a)
-    before, behind = (seq[: tail[0]], seq[tail[1] :]) if tail else (seq, "")
-    head = locate_of(adapter5, before) if before else (len(adapter5), 0, 0)
-    five = head[2] if head[0] <= max_distance else None
-    primer = locate_of(primer3, behind) if behind else (len(primer3), 0, 0)
-    three = primer[0] <= max_distance
-    name = None
-    umi = behind[: primer[1]] if three else ""
-    if umi:
-        if umi not in seen:
-            score, best = min((locate_of(b, umi)[0], n) for n, b in panel.items()) if panel else (max_barcode + 1, None)
-            seen[umi] = best if score <= max_barcode else None
-        name = seen[umi]
-    status = "Complete" if five is not None and three and name else "3' Only" if three and name else "Missing Barcode" if five is not None and three else "5' Only" if five is not None else "Unknown"
-    return {"start": five or 0, "end": tail[0] if tail else len(seq), "barcode": name, "status": status}
+def _nearest(texts: list[str], panel: dict[str, str], max_barcode: int) -> list[str | None]:
+    """The barcode with the least distance within each text, by name on a tie; None beyond the limit."""
+    best, found = [max_barcode + 1] * len(texts), [None] * len(texts)
+    for name in sorted(panel):
+        for i, d in enumerate(ends_of(panel[name], texts)[0].tolist()):
+            if d < best[i]:
+                best[i], found[i] = d, name
+    return found
+
+
+def _segments(texts: list[str], adapter5: str, primer3: str, panel: dict[str, str], max_distance: int, max_barcode: int, poly_a: dict[str, int], seen: dict[str, str | None]) -> list[tuple[int, int, str | None, str]]:
+    """Start, end, barcode and status of each text in its own direction: the adapter lies anywhere before poly-A, primer and barcode behind it."""
+    tails = [poly_a_of(q, **poly_a) for q in texts]
+    behind = [q[t[1] :] if t else "" for q, t in zip(texts, tails)]
+    distance, five = ends_of(adapter5, [q[: t[0]] if t else q for q, t in zip(texts, tails)])
+    primer, at, _ = places_of(primer3, behind, max_distance)
+    umis = [q[:k] if k > 0 else "" for q, k in zip(behind, at.tolist())]
+    new = list({u for u in umis if u and u not in seen})
+    seen.update(zip(new, _nearest(new, panel, max_barcode)))
+    out = []
+    for q, tail, has5, end5, has3, umi in zip(texts, tails, (distance <= max_distance).tolist(), five.tolist(), (primer <= max_distance).tolist(), umis):
+        name = seen[umi] if umi else None
+        status = "Complete" if has5 and has3 and name else "3' Only" if has3 and name else "Missing Barcode" if has5 and has3 else "5' Only" if has5 else "Unknown"
+        out.append((end5 if has5 else 0, tail[0] if tail else len(q), name, status))
+    return out
 
 
 def demultiplex(reads: DataFrame, *, adapter5: str, primer3: str, barcodes: dict[str, str], max_distance: int = 3, max_barcode: int = 2, min_transcript: int = 100, poly_a: dict[str, int] | None = None) -> DataFrame:
     """Orientation, transcript span, barcode and status of each read (read_id, sequence): adapters, poly-A and barcode in both directions.
 
     The whole sequence before poly-A is searched for the adapter. ``poly_a``: limits of the run (query, min_length, max_length, edge).
-    A barcode is scored once for each different text before the primer.
+    The reads of an Arrow batch are searched at once, and a barcode is scored once for each different text before the primer.
 
     The direction with the better status is taken; if both or neither are complete, forward, as complex. ``fragment`` marks short transcripts.
     """
@@ -49,13 +57,14 @@ def demultiplex(reads: DataFrame, *, adapter5: str, primer3: str, barcodes: dict
             rows = []
             if len(seen) > 100_000:
                 seen.clear()
-            for read, seq in zip(part["read_id"], part["sequence"]):
-                both = {"+": seq, "-": seq.translate(turn)[::-1]}
-                found = {s: _segments(q, adapter5, primer3, barcodes, max_distance, max_barcode, poly_a or {}, seen) for s, q in both.items()}
-                f, r = found["+"]["status"], found["-"]["status"]
+            texts = {"+": part["sequence"].tolist()}
+            texts["-"] = [q.translate(turn)[::-1] for q in texts["+"]]
+            found = {s: _segments(x, adapter5, primer3, barcodes, max_distance, max_barcode, poly_a or {}, seen) for s, x in texts.items()}
+            for k, read in enumerate(part["read_id"]):
+                f, r = found["+"][k][3], found["-"][k][3]
                 strand, odd = ("+", False) if r == "Unknown" else ("-", False) if f == "Unknown" else ("+", False) if f == "Complete" != r else ("-", False) if r == "Complete" != f else ("+", True)
-                s = found[strand]
-                rows.append((read, strand, odd, s["status"], s["barcode"], s["start"], s["end"], s["end"] - s["start"] < min_transcript, both[strand][s["start"] : s["end"]]))
+                start, end, name, status = found[strand][k]
+                rows.append((read, strand, odd, status, name, start, end, end - start < min_transcript, texts[strand][k][start:end]))
             yield pd.DataFrame(rows, columns=["read_id", "strand", "is_complex", "status", "barcode", "start", "end", "fragment", "transcript"])
 
     schema = f"read_id {reads.schema['read_id'].dataType.simpleString()}, strand string, is_complex boolean, status string, barcode string, start int, end int, fragment boolean, transcript string"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -307,6 +308,108 @@ def _aligned(query: str, ref: str, mode: str) -> tuple[int, int, int]:
     return best
 
 
+#: Texts and letters of them that are searched at once; texts are searched in pieces of so many letters, all side by side.
+_TEXTS, _LETTERS, _PIECE = 8192, 1 << 22, 512
+
+
+def _blocks(texts: list[str]):
+    """Slices of a list of texts, each within the limits or of one text."""
+    begin, letters = 0, 0
+    for i, x in enumerate(texts):
+        if i > begin and (i - begin == _TEXTS or letters + len(x) > _LETTERS):
+            yield slice(begin, i)
+            begin, letters = i, 0
+        letters += len(x)
+    if len(texts) > begin:
+        yield slice(begin, len(texts))
+
+
+def _letters(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("latin-1", "replace"), np.uint8)
+
+
+def ends_of(query: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Least edit distance of a query anywhere in each text and where the first best place ends, as ``locate_of`` has them."""
+    m = len(query)
+    if not m or m > 64 or not query.isascii() or "?" in query:  # what isn't Latin is read as a question mark
+        found = [_first_best(query, x) if m else (0, 0) for x in texts]
+        return np.array([d for d, _ in found], int), np.array([e for _, e in found], int)
+    parts = [_first_best_of(query, texts[b]) for b in _blocks(texts)]
+    return np.concatenate([np.empty(0, int), *[d for d, _ in parts]]), np.concatenate([np.empty(0, int), *[e for _, e in parts]])
+
+
+def _first_best_of(query: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The columns of ``_first_best`` of all pieces of the texts at once.
+
+    A piece begins twice the query's length early: no best place is longer, so from there on its distances are those of the whole text.
+    """
+    m, word = len(query), np.uint32 if len(query) <= 32 else np.uint64
+    sizes = np.fromiter(map(len, texts), int, len(texts))
+    pieces = -(-sizes // _PIECE)
+    own = np.repeat(np.arange(len(texts)), pieces)  # each piece's text
+    first = (np.arange(len(own)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * _PIECE
+    begin, stop = np.maximum(first - 2 * m, 0), np.minimum(first + _PIECE, sizes[own])
+    order = np.argsort(begin - stop, kind="stable")  # the longest first: those that go on are always the first ones
+    own, begin, length = own[order], begin[order], (stop - begin)[order]
+    at, letters = (np.cumsum(sizes) - sizes)[own] + begin, _letters(texts)
+    masks, one, top = np.zeros(256, word), word(1), word(m - 1)
+    for i, c in enumerate(query):
+        masks[ord(c)] |= one << word(i)
+    up, down = np.full(len(own), ~word(0)), np.zeros(len(own), word)
+    score, best, end = (np.full(len(own), k, np.int32) for k in (m, m, 0))
+    for j, n in enumerate(np.searchsorted(-length, -np.arange(length[0]), "left") if len(own) else ()):
+        if n < len(up):
+            up, down, score = up[:n], down[:n], score[:n]
+        eq = masks[letters[at[:n] + j]]
+        across = ((eq & up) + up ^ up) | eq
+        more, less = down | ~(across | up), up & across
+        score = score + (more >> top & one).astype(np.int32) - (less >> top & one).astype(np.int32)
+        better = score < best[:n]
+        np.copyto(best[:n], score, where=better)
+        np.copyto(end[:n], j + 1, where=better)
+        more, less, eq = more << one, less << one, eq | down
+        up, down = less | ~(eq | more), more & eq
+    # of a text's pieces, the least distance and its first end
+    key = np.full(len(texts), m << 40)
+    np.minimum.at(key, own, np.where(best < m, (best.astype(int) << 40) + begin + end, m << 40))
+    return key >> 40, key & (1 << 40) - 1
+
+
+def places_of(query: str, texts: list[str], max_distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``locate_of`` of a query in each text: distance, start, end; beyond the greatest distance start is -1."""
+    d, end = ends_of(query, texts)
+    m, start = len(query), np.where(d == 0, end - len(query), 0)
+    start[d > max_distance] = -1
+    rows = np.flatnonzero((d <= max_distance) & (d > 0) & (end > 0))
+    low = np.maximum(end[rows] - m - d[rows], 0)
+    windows = [texts[i][a:e] for i, a, e in zip(rows.tolist(), low.tolist(), end[rows].tolist())]
+    if not query.isascii() or "?" in query:
+        start[rows] = low + np.array([_aligned(query, w, "infix")[1] for w in windows], int)
+        return d, start, end
+    for b in _blocks(windows):
+        start[rows[b]] = low[b] + _starts(query, windows[b])
+    return d, start, end
+
+
+def _starts(query: str, windows: list[str]) -> np.ndarray:
+    """Where the place that ends with each window begins: the rows of ``_aligned``, of all windows at once."""
+    sizes = np.fromiter(map(len, windows), int, len(windows))
+    letters, at = _letters(windows), np.cumsum(sizes) - sizes
+    column = [(np.full(len(windows), i, np.int32), np.zeros(len(windows), np.int32)) for i in range(len(query) + 1)]
+    out = np.zeros(len(windows), int)
+    for j in range(1, int(sizes.max()) + 1):
+        c = letters[np.minimum(at + j - 1, len(letters) - 1)]  # what stands behind a window counts no more
+        last, column = column, [(np.zeros(len(windows), np.int32), np.full(len(windows), j, np.int32))]
+        for i, q in enumerate(query, 1):
+            d, s = last[i - 1][0] + (c != ord(q)), last[i - 1][1]
+            for other, from_there in (last[i], column[i - 1]):
+                better = other + 1 < d
+                d, s = np.where(better, other + 1, d), np.where(better, from_there, s)
+            column.append((d, s))
+        out = np.where(sizes == j, column[-1][1], out)
+    return out
+
+
 def locate(query: str, ref: str | Column, max_distance: int, mode: str = "infix") -> Column:
     """struct(distance, start, end) of the best place of a fixed query in each text; null beyond the limit."""
 
@@ -338,12 +441,11 @@ def kmer_runs(seq: str | Column, kmer: str, min_count: int = 2) -> Column:
 def poly_a_of(seq: str, query: int = 10, min_length: int = 15, max_length: int = 300, edge: int = 5) -> tuple[int, int] | None:
     """Last run of poly-A: exact A stretches of the query's length, merged over gaps of up to ``edge``, of a length within the limits."""
     runs: list[list[int]] = []
-    for m in re.finditer(f"(?=A{{{query}}})", seq):
-        s = m.start()
-        if runs and s <= runs[-1][1] + 1 + edge:
-            runs[-1][1] = s + query
+    for m in re.finditer(f"A{{{query},}}", seq):
+        if runs and m.start() <= runs[-1][1] + 1 + edge:
+            runs[-1][1] = m.end()
         else:
-            runs.append([s, s + query])
+            runs.append([m.start(), m.end()])
     good = [r for r in runs if min_length <= r[1] - r[0] <= max_length]
     return tuple(good[-1]) if good else None
 

@@ -218,3 +218,36 @@ def test_adapter_lies_anywhere_before_poly_a(spark):
     d = {r["read_id"]: r for r in reads.demultiplex(spark.createDataFrame(reads_, "read_id long, sequence string"), adapter5=adapter, primer3=primer, barcodes={"b1": "CCCCTTTT", "b2": "GGGGAAAA"}).collect()}
     assert (d[1]["status"], d[1]["start"], d[1]["transcript"]) == ("Complete", 194, body)
     assert d[2]["status"] == "5' Only" and d[3]["status"] == "3' Only" and d[3]["start"] == 0 and d[4]["status"] == d[5]["status"] == "Unknown" and 6 not in d
+
+
+def test_places_of_many_texts_at_once(monkeypatch):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    alone, calls = sequence._aligned, []
+    monkeypatch.setattr(sequence, "_aligned", lambda *a: calls.append(1) or alone(*a))
+    for m, piece in [(1, 3), (4, 1), (9, 16), (16, 512), (32, 40), (33, 40), (64, 512), (65, 512)]:
+        monkeypatch.setattr(sequence, "_PIECE", piece)
+        query = text(m)
+        near = lambda: "".join(rng.choice(["", c, c, c, c, c, c, c + "T", "G", "\u00e9\u8a9e?"]) for c in query)
+        texts = ["", query, *[text(rng.randint(0, 90)) + rng.choice([near(), ""]) + text(rng.randint(0, 90)) for _ in range(60)]]
+        d, start, end = sequence.places_of(query, texts, m // 2)
+        assert m > 64 or not calls  # nothing is aligned text by text
+        for x, *got in zip(texts, d.tolist(), start.tolist(), end.tolist()):
+            distance, first, stop = alone(query, x, "infix")
+            assert got == [distance, first if distance <= m // 2 else -1, stop]
+    assert [x.tolist() for x in sequence.places_of("", ["ACGT", ""], 1)] == [[0, 0]] * 3 and [len(x) for x in sequence.places_of("ACG", [], 1)] == [0] * 3
+
+
+def test_poly_a_is_that_of_all_windows():
+    rng = random.Random(10)
+    for _ in range(500):
+        s, query, edge = "".join(rng.choice("AAAAAC") for _ in range(rng.randint(0, 80))), rng.randint(1, 6), rng.randint(0, 5)
+        runs = []
+        for i in range(len(s) - query + 1):
+            if s[i : i + query] == "A" * query:
+                if runs and i <= runs[-1][1] + 1 + edge:
+                    runs[-1][1] = i + query
+                else:
+                    runs.append([i, i + query])
+        good = [tuple(r) for r in runs if 8 <= r[1] - r[0] <= 40]
+        assert sequence.poly_a_of(s, query, 8, 40, edge) == (good[-1] if good else None)

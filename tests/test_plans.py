@@ -72,3 +72,15 @@ def test_small_operators_match_their_sql_and_have_rows(spark):
         found = db.execute(kernels.SQL[name])
         at = [[d[0] for d in found.description].index(c) for c in cols]
         assert got and got == sorted(tuple(_plain(x[i]) for i in at) for x in found.fetchall()), name
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="needs the test tables")
+def test_demultiplexed_matches_its_sql_with_more_reads(spark, tmp_path):
+    db = duckdb.connect()
+    db.execute(f"COPY (SELECT p.* REPLACE (p_partkey + 2000 * k AS p_partkey) FROM range(20) t(k), '{DATA}/part.parquet' p) TO '{tmp_path}/part.parquet'")
+    db.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+    df = kernels.QUERIES["demultiplexed"](spark, str(tmp_path))
+    want = db.execute(kernels.SQL["demultiplexed"])
+    assert [d[0] for d in want.description] == df.columns
+    got = sorted(map(tuple, df.collect()), key=lambda x: x[0])
+    assert len(got) == 40_000 and got == sorted(want.fetchall(), key=lambda x: x[0])
