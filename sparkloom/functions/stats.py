@@ -114,7 +114,10 @@ def normal_log_density(value: Column, mu: Column, sigma: Column) -> Column:
 # --- shapes ------------------------------------------------------------------------------------------------------
 
 def gaussian_peak(t, area, mu, sigma):
-    return area / (sigma * math.sqrt(2 * math.pi)) * np.exp(-0.5 * ((np.asarray(t) - mu) / sigma) ** 2)
+    z = np.asarray((np.asarray(t) - mu) / sigma)  # an array of its own: the steps need no others
+    np.square(z, out=z)
+    np.exp(np.multiply(z, -0.5, out=z), out=z)
+    return area / (sigma * math.sqrt(2 * math.pi)) * z
 
 
 def erfcx(x):
@@ -214,7 +217,7 @@ def evolve_groups(f, n: int, bounds, *, seed: int = 0, generations: int = 150, p
 def gradient(f, x, h: float = 1e-6):
     x = np.asarray(x, float)
     step = h * np.maximum(1, np.abs(x))
-    return np.array([(f(x + np.eye(len(x))[i] * step[i]) - f(x - np.eye(len(x))[i] * step[i])) / (2 * step[i]) for i in range(len(x))])
+    return np.array([(f(x + move) - f(x - move)) / (2 * s) for move, s in zip(np.diag(step), step)])
 
 
 def hessian(f, x, h: float = 1e-4):
@@ -287,19 +290,22 @@ def minimize(f, bounds, *, optimizer: str = "de", seed: int = 0, polish: bool =
 # --- fits per group ----------------------------------------------------------------------------------------------
 
 #: Values of the traces that are fitted at once.
-_FITTED = 1 << 15
+_FITTED = 1 << 16
 
 
 def _packed(traces: list[tuple[np.ndarray, np.ndarray]]):
-    """Traces in packs of similar length: their numbers, and points x traces of t, v and what counts (None: all)."""
+    """Traces in packs of similar length: their numbers, points x traces of t and v, the shortest length and which points after it are none."""
     order = sorted(range(len(traces)), key=lambda i: len(traces[i][0]))
     while order:
         size = max(1, _FITTED // max(1, len(traces[order[-1]][0])))
         pack, order = order[-size:], order[:-size]
-        longest = len(traces[pack[-1]][0])
-        t, v = (np.array([np.pad(traces[i][k], (0, longest - len(traces[i][k])), "edge") for i in pack]).T.copy() for k in (0, 1))
-        counts = np.arange(longest)[:, None] < np.array([len(traces[i][0]) for i in pack])
-        yield pack, t, v, None if counts.all() else counts
+        shortest, longest = len(traces[pack[0]][0]), len(traces[pack[-1]][0])
+        t, v = np.empty((len(pack), longest)), np.empty((len(pack), longest))
+        for row, i in enumerate(pack):
+            for to, x in zip((t[row], v[row]), traces[i]):
+                to[: len(x)], to[len(x) :] = x, x[-1]
+        t, v = t.T.copy(), v.T.copy()
+        yield pack, t, v, shortest, np.arange(shortest, longest)[:, None] >= np.array([len(traces[i][0]) for i in pack])
 
 
 def fit_traces(traces: list[tuple[np.ndarray, np.ndarray]], curve: str, limits: list[tuple[float, float]], *, optimizer: str = "de", seed: int = 0) -> list[tuple[np.ndarray, float]]:
@@ -319,16 +325,19 @@ def fit_traces(traces: list[tuple[np.ndarray, np.ndarray]], curve: str, limits:
 
     if optimizer != "de":
         return [minimize(loss_of(*x), limits, optimizer=optimizer) for x in traces]
-    for pack, t, v, counts in _packed(traces):
+    for pack, t, v, shortest, none in _packed(traces):
         held: list = [None]
 
-        def losses(p, at, t=t, v=v, counts=counts, held=held):
+        def losses(p, at, t=t, v=v, shortest=shortest, none=none, held=held):
             if held[0] is None or len(held[0]) != len(at):  # traces are only ever left
                 two = np.repeat(at, 2) if len(at) == 1 else at  # a column on its own would be added up in another order
-                held[:] = [at, *[None if a is None else a.take(two, axis=1) for a in (t, v, counts)]]
+                held[:] = [at, *[a.take(two, axis=1) for a in (t, v, none)]]
             with np.errstate(all="ignore"):
-                d = (shape(held[1], *p) - held[2]) ** 2
-                d = np.add.reduce(d if counts is None else np.where(held[3], d, 0.0), axis=0)
+                d = shape(held[1], *p)
+                d -= held[2]
+                d *= d
+                np.copyto(d[shortest:], 0.0, where=held[3])
+                d = np.add.reduce(d, axis=0)
             return np.where(np.isfinite(d), d, 1e300)[: len(at)]
 
         for i, x, value in zip(pack, *evolve_groups(losses, len(pack), limits, seed=seed)):
